@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from outings import fixed_values as fv
 from outings.functions import urls
 from outings.functions.dates import real_day
-from outings.functions.text import blank_to_null, clean, clean_text, utf16_length
+from outings.functions.stages import compute_once
+from outings.functions.text import blank_to_null, clean, utf16_length
 from outings.schemas import SHOWS, Site
 
 
@@ -36,13 +37,16 @@ def _swap_reversed(df: DataFrame, low: str, high: str) -> DataFrame:
 
 def check_shows(shows: DataFrame) -> DataFrame:
     """Repair what can be repaired and add ``reason`` (null = the show is accepted)."""
-    df = clean_text(shows, ["title", "section", "category", "venue", "address", "image", "description"])
-    df = infer_section_by_path(df)
-    df = df.withColumns({
-        "category": F.coalesce("category", F.when(F.col("section") == "theatre", fv.DEFAULT_CATEGORIES["theatre"])),
-        "image": F.when(F.col("image").rlike("^https?://"), F.col("image")),
+    texts = ["title", "section", "category", "venue", "address", "image", "description"]
+    df = compute_once(shows, {
+        **{c: clean(F.col(c)) for c in texts},
         "date_start": real_day(F.col("date_start")),
         "date_end": real_day(F.col("date_end")),
+        "_section": urls.section_by_path(F.col("url")),
+    })
+    df = df.withColumn("section", F.coalesce("section", "_section")).drop("_section").withColumns({
+        "category": F.coalesce("category", F.when(F.col("section") == "theatre", fv.DEFAULT_CATEGORIES["theatre"])),
+        "image": F.when(F.col("image").rlike("^https?://"), F.col("image")),
         "duration_min": F.when(F.col("duration_min").between(1, fv.DURATION_MAX), F.col("duration_min")),
         "price_min_eur": F.when(F.col("price_min_eur") >= 0, F.col("price_min_eur")),
         "price_max_eur": F.when(F.col("price_max_eur") >= 0, F.col("price_max_eur")),
@@ -76,19 +80,21 @@ def validate_import(lines: DataFrame, site: Site = Site(), line: str = "line") -
     The line is read as a variant, so a number sent as text (or the reverse) is told
     apart from a right one. Unknown keys are dropped.
     """
-    df = lines.withColumn("_v", F.try_parse_json(F.col(line)))
+    df = compute_once(lines, {"_v": F.try_parse_json(F.col(line))})
     issues: list[Column] = [
         _issue("root", F.col("_v").isNull(), "invalid JSON"),
-        _issue("root", ~F.schema_of_variant("_v").startswith("OBJECT"), "expected object"),
+        _issue("root", F.col("_v").isNotNull() & ~F.col("_object"), "expected object"),
     ]
-    is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
+    is_object = F.col("_object")
     names = ["url", "title", "section", "category", "venue", "address", "arrondissement", "date_start",
              "date_end", "duration_min", "price_min_eur", "price_max_eur", "image", "description", "crawled_at"]
     numeric = ("duration_min", "price_min_eur", "price_max_eur")
 
-    # type and text of every field, once
-    df = df.withColumns({f"_t_{n}": F.schema_of_variant(F.try_variant_get("_v", f"$.{n}", "variant")) for n in names})
-    df = df.withColumns({f"_s_{n}": F.try_variant_get("_v", f"$.{n}", "string") for n in names})
+    df = compute_once(df, {
+        "_object": F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)),
+        **{f"_t_{n}": F.schema_of_variant(F.try_variant_get("_v", f"$.{n}", "variant")) for n in names},
+        **{f"_s_{n}": F.try_variant_get("_v", f"$.{n}", "string") for n in names},
+    })
 
     def kind(n: str) -> Column:
         return F.coalesce(F.col(f"_t_{n}"), F.lit("VOID"))
@@ -108,7 +114,7 @@ def validate_import(lines: DataFrame, site: Site = Site(), line: str = "line") -
             values[n] = F.when(is_number, F.col(f"_s_{n}").try_cast("double"))
         else:
             values[n] = F.when(is_text(n), clean(F.col(f"_s_{n}")))
-    df = df.withColumns({n: v for n, v in values.items()})
+    df = compute_once(df, values)
 
     def col(n: str) -> Column:
         return F.col(n)
@@ -156,7 +162,7 @@ def validate_import(lines: DataFrame, site: Site = Site(), line: str = "line") -
                "invalid datetime"),
     ]
     kept = [c for c in lines.columns if c not in names]
-    return df.withColumn("issues", F.array_compact(F.array(*issues))).select(
+    return compute_once(df, {"issues": F.array_compact(F.array(*issues))}).select(
         *kept, *[F.when(F.col(n) == F.floor(n), F.col(n)).try_cast("int").alias(n) if n == "duration_min"
                  else F.col(n) for n in names], "issues")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from outings.functions import urls
+from outings.functions.stages import compute_once
 from outings.functions.text import blank_to_null
 from outings.operators.quality import duplicate_url_check, normalize_import, validate_import
 from outings.schemas import SHOWS, Site, conform
@@ -50,7 +51,7 @@ def parse_lenient(lines: DataFrame) -> DataFrame:
     section_type = F.schema_of_variant(F.try_variant_get(v, "$.section", "variant"))
     kept = [c for c in lines.columns if c != "line"]
     shows = (
-        lines.withColumn("_v", F.try_parse_json("line"))
+        compute_once(lines, {"_v": F.try_parse_json("line")})
         .select(*kept, *fields, (url_type == "STRING").alias("_url_ok"), (section_type == "STRING").alias("_section_ok"))
         .where(F.col("_url_ok") & (F.col("url") != ""))
     )

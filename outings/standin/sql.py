@@ -117,7 +117,7 @@ IMPORT = SALES + f""", raw AS (
          CASE WHEN l_suppkey % 10 = 2 THEN 'opera' WHEN l_partkey % 3 = 0 THEN 'cinema' ELSE 'theatre' END AS section,
          l_linestatus AS category,
          CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS d1, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d2,
-         CAST(l_quantity * 20 - 100 AS INTEGER) AS minutes, round(l_extendedprice / 200, 2) AS p1
+         CAST(l_quantity * 20 - 100 AS INTEGER) AS minutes, l_extendedprice / 200 AS p1
   FROM sales
 ), judged AS (
   SELECT *, CASE WHEN s = 3 THEN 'root: invalid JSON' ELSE concat_ws('; ',
@@ -173,7 +173,7 @@ RENDERED = f"""base AS (
          ELSE 'https://img.example/' || p_partkey || '.jpg' END AS image,
     CASE WHEN cinema THEN 'Fiche de ' || p_name
          ELSE 'Le spectacle est référencé dans notre rubrique ' || CASE WHEN p_type = 'PROMO' THEN 'Humour & Shows'
-           WHEN p_type = 'LARGE' THEN 'Spectacles musicaux' WHEN p_type = 'SMALL' THEN 'Pièces de théâtre'
+           WHEN p_type = 'LARGE' THEN 'Spectacle musical' WHEN p_type = 'SMALL' THEN 'Pièces de théâtre'
            ELSE 'Danse ' || p_type END || '.' END AS description,
     s, e, d1, d2, cinema
   FROM told

@@ -161,7 +161,7 @@ def import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("date_start"),
         F.when(line == 2, F.date_format("o_orderdate", "dd/MM/yyyy")).when(line == 3, "2025-02-30")
         .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date_end"),
-        F.round(F.col("l_extendedprice") / 200, 2).alias("price_min_eur"), F.lit(20.5).alias("price_max_eur"),
+        (F.col("l_extendedprice") / 200).alias("price_min_eur"), F.lit(20.5).alias("price_max_eur"),
         F.when(line == 4, "img.example/a.jpg").otherwise("https://img.example/a.jpg").alias("image"),
         F.lit("2026-03-11T10:00:00.000Z").alias("crawled_at"), F.lit(True).alias("ignored"),
     ]
@@ -221,7 +221,7 @@ def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     minutes = F.col("p_size") * 7
     hours, rest = F.floor(minutes / 60).cast("string"), (minutes % 60).cast("string")
     duration = F.when(minutes < 60, F.concat(rest, F.lit(" min"))).otherwise(F.concat(hours, F.lit("h"), F.lpad(rest, 2, "0")))
-    rubric = (F.when(F.col("p_type") == "PROMO", "Humour &amp; Shows").when(F.col("p_type") == "LARGE", "Spectacles musicaux")
+    rubric = (F.when(F.col("p_type") == "PROMO", "Humour &amp; Shows").when(F.col("p_type") == "LARGE", "Spectacle musical")
               .when(F.col("p_type") == "SMALL", "Pièces de théâtre").otherwise(F.concat(F.lit("Danse "), "p_type")))
     crumb = F.when(key % 2 == 0, F.concat(F.lit("Théâtre du "), word)).otherwise("Pièces de théâtre")
     image = F.when(key % 2 == 0, F.concat(F.lit("/img/"), k, F.lit(".jpg"))).otherwise(
