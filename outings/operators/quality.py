@@ -70,6 +70,10 @@ def validate_shows(shows: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --- import gate ------------------------------------------------------------------
 
 
+_SEPARATOR = "\u0001"
+_ISSUES_AT_ONCE = 8
+
+
 def _issue(field: str, bad: Column, message: str) -> Column:
     return F.when(F.coalesce(bad, F.lit(False)), f"{field}: {message}")
 
@@ -80,21 +84,29 @@ def validate_import(lines: DataFrame, site: Site = Site(), line: str = "line") -
     The line is read as a variant, so a number sent as text (or the reverse) is told
     apart from a right one. Unknown keys are dropped.
     """
-    df = compute_once(lines, {"_v": F.try_parse_json(F.col(line))})
-    issues: list[Column] = [
-        _issue("root", F.col("_v").isNull(), "invalid JSON"),
-        _issue("root", F.col("_v").isNotNull() & ~F.col("_object"), "expected object"),
-    ]
-    is_object = F.col("_object")
     names = ["url", "title", "section", "category", "venue", "address", "arrondissement", "date_start",
              "date_end", "duration_min", "price_min_eur", "price_max_eur", "image", "description", "crawled_at"]
     numeric = ("duration_min", "price_min_eur", "price_max_eur")
 
+    # one pass over the text gives every field as a small variant of its own
+    fields = ", ".join(f"{n} variant" for n in names)
+    text = F.trim(F.col(line))
+    df = compute_once(lines, {
+        "_r": F.from_json(F.col(line), f"{fields}, _bad string", {"columnNameOfCorruptRecord": "_bad"}),
+        "_object": text.startswith("{"),
+        "_closed": text.endswith("}"),
+    })
     df = compute_once(df, {
-        "_object": F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)),
-        **{f"_t_{n}": F.schema_of_variant(F.try_variant_get("_v", f"$.{n}", "variant")) for n in names},
-        **{f"_s_{n}": F.try_variant_get("_v", f"$.{n}", "string") for n in names},
+        "_object": F.col("_object") & F.col("_closed") & F.col("_r").isNotNull() & F.col("_r._bad").isNull(),
+        "_json": ~F.col("_object") & F.try_parse_json(F.col(line)).isNotNull(),
+        **{f"_t_{n}": F.schema_of_variant(F.col(f"_r.{n}")) for n in names},
+        **{f"_s_{n}": F.try_variant_get(F.col(f"_r.{n}"), "$", "string") for n in names},
     })
+    is_object = F.col("_object")
+    issues: list[Column] = [
+        _issue("root", ~is_object & ~F.col("_json"), "invalid JSON"),
+        _issue("root", ~is_object & F.col("_json"), "expected object"),
+    ]
 
     def kind(n: str) -> Column:
         return F.coalesce(F.col(f"_t_{n}"), F.lit("VOID"))
@@ -162,7 +174,14 @@ def validate_import(lines: DataFrame, site: Site = Site(), line: str = "line") -
                "invalid datetime"),
     ]
     kept = [c for c in lines.columns if c not in names]
-    return compute_once(df, {"issues": F.array_compact(F.array(*issues))}).select(
+    # a few at a time, so that every generated method stays small enough to be compiled
+    parts = [issues[i:i + _ISSUES_AT_ONCE] for i in range(0, len(issues), _ISSUES_AT_ONCE)]
+    for i, part in enumerate(parts):
+        df = compute_once(df, {f"_i{i}": blank_to_null(F.concat_ws(_SEPARATOR, *part))})
+    df = compute_once(df, {"_all": F.concat_ws(_SEPARATOR, *[F.col(f"_i{i}") for i in range(len(parts))])})
+    df = df.withColumn("issues", F.when(F.col("_all") == "", F.array().cast("array<string>"))
+                       .otherwise(F.split("_all", _SEPARATOR)))
+    return df.select(
         *kept, *[F.when(F.col(n) == F.floor(n), F.col(n)).try_cast("int").alias(n) if n == "duration_min"
                  else F.col(n) for n in names], "issues")
 

@@ -45,19 +45,25 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_lenient(lines: DataFrame) -> DataFrame:
     """Show columns of every line that is an object with a non-empty text url; others are skipped."""
-    v = F.col("_v")
-    fields = [F.try_variant_get(v, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in SHOWS.fields]
-    url_type = F.schema_of_variant(F.try_variant_get(v, "$.url", "variant"))
-    section_type = F.schema_of_variant(F.try_variant_get(v, "$.section", "variant"))
+    told = {"url": "variant", "section": "variant"}
+    fields = ", ".join(f"{f.name} {told.get(f.name, f.dataType.simpleString())}" for f in SHOWS.fields)
+    parsed = compute_once(lines, {"_r": F.from_json("line", fields)})
     kept = [c for c in lines.columns if c != "line"]
+
+    def value(name: str):
+        c = F.col(f"_r.{name}")
+        return (F.try_variant_get(c, "$", "string") if name in told else c).alias(name)
+
+    def is_text(name: str):
+        return F.schema_of_variant(F.col(f"_r.{name}")) == "STRING"
+
     shows = (
-        compute_once(lines, {"_v": F.try_parse_json("line")})
-        .select(*kept, *fields, (url_type == "STRING").alias("_url_ok"), (section_type == "STRING").alias("_section_ok"))
-        .where(F.col("_url_ok") & (F.col("url") != ""))
+        parsed.where(is_text("url"))
+        .select(*kept, *[value(n) for n in SHOWS.names], is_text("section").alias("_section_ok"))
+        .where(F.col("url") != "")
     )
     section = F.when(F.col("_section_ok"), blank_to_null(F.col("section")))
-    return shows.withColumn("section", F.coalesce(section, urls.section_by_path(F.col("url")))).drop(
-        "_url_ok", "_section_ok")
+    return shows.withColumn("section", F.coalesce(section, urls.section_by_path(F.col("url")))).drop("_section_ok")
 
 
 def read_shows_lenient(spark: SparkSession, path: str) -> DataFrame:
