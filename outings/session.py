@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -27,16 +28,18 @@ def builder(app: str = "outings") -> SparkSession.Builder:
     return b
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="outings-")
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach.
 
-    A cluster names its shared folder in ``spark.checkpoint.dir``. Only where that
-    is unset (tests on one machine) a local folder is made and recorded there.
+    A cluster names its shared folder in ``spark.checkpoint.dir``. Only where that is
+    unset (tests on one machine) a local folder is made.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="outings-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 

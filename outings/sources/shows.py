@@ -10,6 +10,7 @@ from outings.functions.stages import compute_once
 from outings.functions.text import blank_to_null
 from outings.operators.quality import duplicate_url_check, normalize_import, validate_import
 from outings.schemas import SHOWS, Site, conform
+from outings.session import materialize
 
 
 def with_place(text: DataFrame) -> DataFrame:
@@ -74,11 +75,15 @@ def read_shows_lenient(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_lines(lines: DataFrame, site: Site = Site()) -> tuple[DataFrame, DataFrame]:
-    """(file, line_no, line) -> (normalized records, rejects(file, line_no, issues))."""
+    """(file, line_no, line) -> (normalized records, rejects(file, line_no, issues)).
+
+    Checked lines are written once: records, rejects and the search for repeats all come
+    from them, and every line is parsed a single time.
+    """
     full = lines.where(F.trim(F.regexp_replace("line", r"(?U)\s+", " ")) != "")
-    checked = validate_import(full, site)
+    checked = materialize(validate_import(full, site).drop("line"), "checked-lines")
     bad = checked.where(F.size("issues") > 0).select("file", "line_no", "issues")
-    good = normalize_import(checked.where(F.size("issues") == 0).drop("line"))
+    good = normalize_import(checked.where(F.size("issues") == 0))
     records, repeats = duplicate_url_check(good, "line_no", ["file"])
     repeated = repeats.select("file", "line_no", F.array(F.concat(
         F.lit("url: duplicate of line "), F.col("first_line").cast("string"))).alias("issues"))

@@ -26,8 +26,7 @@ def ingest_batch(lines: DataFrame, works_root: str, rejects_root: str, token: st
     if has_token(spark, works_root, token):
         return
     rows = lines.withColumn("row", F.monotonically_increasing_id())
-    # written once, so that the split rows are numbered from is the same in every use
-    records, rejects = check_lines(number_lines(materialize(rows, "lines")), site)
+    records, rejects = check_lines(number_lines(rows), site)
     rejects.write.mode("overwrite").parquet(f"{rejects_root}/batch={token}")
     refused = spark.read.schema(rejects.schema).parquet(f"{rejects_root}/batch={token}").select("file").distinct()
     good = records.join(refused, "file", "left_anti").withColumn("_order", F.struct("file", "line_no"))
