@@ -49,3 +49,14 @@ def materialize(df, purpose: str):
     path = scratch_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(table):
+    """Even out a stored table that comes in fewer splits than there are cores.
+
+    For row work that is heavy on the processor (parsing html or JSON). A small table in
+    one file would keep one core busy; a large one already has splits enough and is left
+    as it is, without a shuffle.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

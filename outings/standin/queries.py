@@ -28,7 +28,7 @@ from outings.plans import discover as di
 from outings.plans import likes as li
 from outings.plans.pipeline import collect_shows
 from outings.schemas import CARD_COLUMNS, SHOWS, WORKS, Site
-from outings.session import materialize, scratch_dir
+from outings.session import scratch_dir, spread
 from outings.sources import catalog
 from outings.sources import shows as sh
 from outings.sources.pages import scan_pages
@@ -643,7 +643,7 @@ def _(spark, d):
 @query("clean_text", r"""
 SELECT doc_id, nullif(trim(regexp_replace(text, '\s+', ' ', 'g')), '') AS text FROM documents""")
 def _(spark, d):
-    return clean_text(st.table(spark, d, "documents").select("doc_id", "text"), ["text"])
+    return clean_text(spread(st.table(spark, d, "documents")).select("doc_id", "text"), ["text"])
 
 
 @query("infer_section_by_path", _with(sql.DIRTY) + "SELECT url, coalesce(given_section, path_section) AS section FROM dirty")

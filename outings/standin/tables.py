@@ -11,6 +11,8 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from outings.session import spread
+
 AS_OF = datetime(2001, 9, 7, 22, 30, tzinfo=UTC)  # already the 8th where the events take place
 NOW = datetime(2001, 9, 8, 7, 0)
 BASE = "https://listings.example"
@@ -36,9 +38,11 @@ def source_url(key: str) -> Column:
     ).otherwise(F.concat(F.lit(f"{BASE}/theatre/lieu-"), text_of(F.col(key) % 100), F.lit("/oeuvre-"), k, F.lit(".html")))
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sales(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    """Lines with their order; ``heavy`` when costly row work follows."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     lines = table(spark, sf_dir, "lineitem")
+    lines = spread(lines) if heavy else lines
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
@@ -128,7 +132,7 @@ def dirty_shows(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.col("l_linenumber")
     k = text_of(F.col("l_orderkey") * 10 + line)
     path = F.when(line == 7, "/autre/").when(F.col("l_partkey") % 3 == 0, "/cinema/").otherwise("/theatre/")
-    return sales(spark, sf_dir).select(
+    return sales(spark, sf_dir, heavy=True).select(
         F.concat(F.lit(BASE), path, F.lit("lieu-1/oeuvre-"), k, F.lit(".html")).alias("url"),
         F.when((line == 6) & (F.col("l_returnflag") == "A"), " \t ")
         .otherwise(F.concat(F.lit("  oeuvre \n "), text_of("l_partkey"), F.lit(" "))).alias("title"),
@@ -169,7 +173,7 @@ def import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_text = F.to_json(F.struct(*common, text_of(minutes).alias("duration_min")), options)
     as_number = F.to_json(F.struct(*common, minutes.alias("duration_min")), options)
     text = F.when(F.col("l_suppkey") % 10 == 3, "{not json").when(F.col("l_suppkey") % 10 == 4, as_text).otherwise(as_number)
-    return sales(spark, sf_dir).select(F.col("l_returnflag").alias("file"), number.alias("line_no"), text.alias("line"))
+    return sales(spark, sf_dir, heavy=True).select(F.col("l_returnflag").alias("file"), number.alias("line_no"), text.alias("line"))
 
 
 # --- rendered detail pages ------------------------------------------------------------
@@ -248,5 +252,5 @@ def rendered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     cinema = F.concat(
         head, F.when(key % 4 != 1, movie).otherwise(""), F.lit("</head><body><h1>"), "p_name", F.lit(" <em>"), k,
         F.lit("</em></h1>"), F.when(key % 4 == 1, labels).otherwise(""), F.lit("<p>Sans titre de partie</body></html>"))
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         key.alias("page_id"), detail_url().alias("url"), F.when(key % 3 == 0, cinema).otherwise(theatre).alias("html"))
