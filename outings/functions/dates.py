@@ -33,10 +33,12 @@ RELEASE = rf"(?iuU)\b{fv.RELEASE_LABEL}({_NUMERIC}|\d{{1,2}}\s+{MONTH}\s+\d{{4}}
 SPAN_TYPE = "struct<start:string,end:string>"
 
 
+_MONTH_MAP = "map(" + ", ".join(
+    f"'{word}', '{number:02d}'" for word, number in {**fv.MONTH_NAMES, **fv.MONTH_ABBREVIATIONS}.items()) + ")"
+
+
 def _month_number(name: Column) -> Column:
-    table = {**fv.MONTH_NAMES, **fv.MONTH_ABBREVIATIONS}
-    pairs = [F.lit(x) for word, number in table.items() for x in (word, f"{number:02d}")]
-    return F.try_element_at(F.create_map(*pairs), F.replace(F.lower(name), F.lit("."), F.lit("")))
+    return F.try_element_at(F.expr(_MONTH_MAP), F.replace(F.lower(name), F.lit("."), F.lit("")))
 
 
 def _iso(year: Column, month: Column, day: Column) -> Column:
