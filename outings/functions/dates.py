@@ -134,5 +134,15 @@ def real_day(text: Column) -> Column:
     return F.when(shaped & text.try_cast("date").isNotNull(), text)
 
 
+def instant(text: Column) -> Column:
+    """Timestamp of an ISO text; without a zone it is UTC whatever the session's zone is."""
+    zoned = (
+        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z")))
+        .when(text.rlike(r"(Z|[+-]\d{2}:?\d{2}(:\d{2})?)$"), text)
+        .otherwise(F.concat(text, F.lit("Z")))
+    )
+    return zoned.try_cast("timestamp")
+
+
 def release_day_text(text: Column) -> Column:
     return blank_to_null(F.regexp_extract(text, RELEASE, 1))

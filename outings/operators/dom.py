@@ -7,13 +7,18 @@ means what) live in ``extract.py`` as column expressions over this table.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Executors get this small module with the task, so they need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _ATTRS = ("class", "id", "itemprop", "href", "name", "property", "content", "type")
 _NODE = (
     "tag string, class string, id string, itemprop string, href string, name string, "

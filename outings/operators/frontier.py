@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from outings import fixed_values as fv
 from outings.functions import urls
+from outings.functions.dates import instant
 from outings.functions.text import blank_to_null
 from outings.operators.dom import dom_pass
 from outings.schemas import SHOWS, Site, conform
@@ -107,12 +108,12 @@ def refresh_plan(frontier: DataFrame, cache: DataFrame, as_of: datetime,
         F.col("url").alias("_url"),
         is_complete(F.coalesce(blank_to_null(F.col("section")), urls.section_by_path(F.col("url"))),
                     F.col("title"), F.col("category"), F.col("venue"), F.col("description")).alias("_complete"),
-        F.col("crawled_at").try_cast("timestamp").alias("_crawled"),
+        instant(F.col("crawled_at")).alias("_crawled"),
     )
     joined = frontier.join(c, F.col("url") == F.col("_url"), "left")
     reuse = F.col("_url").isNotNull() & F.col("_complete")
     if hours > 0:
-        age = F.lit(as_of.isoformat()).cast("timestamp") - F.col("_crawled")
+        age = instant(F.lit(as_of.isoformat())) - F.col("_crawled")
         reuse = reuse & F.coalesce(age <= F.make_dt_interval(hours=F.lit(hours)), F.lit(False))
     action = F.when(F.coalesce(reuse, F.lit(False)), "reuse").otherwise("fetch")
     return joined.withColumn("action", action).drop("_url", "_complete", "_crawled")

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed partition even when that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # do not record a call site per column expression: large expressions are built much faster
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # html rows are wide: bound an Arrow batch by bytes as well as by rows
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
