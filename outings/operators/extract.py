@@ -12,6 +12,7 @@ from outings import fixed_values as fv
 from outings.functions import dates, fields, urls
 from outings.functions.text import blank_to_null, clean, contains_any, group, groups
 from outings.operators.dom import dom_pass, first_node, json_ld, matches, node_text, select_texts
+from outings.operators.sizes import fits_broadcast
 from outings.schemas import SHOWS, Site, conform
 
 _HEADINGS = ("h2", "h3", "h4")
@@ -219,12 +220,14 @@ def with_show_columns(dom: DataFrame) -> DataFrame:
 def extract_shows(pages: DataFrame, seeds: DataFrame | None = None, site: Site = Site()) -> DataFrame:
     """Detail pages -> shows, one row per page, or one per seed when seeds are given.
 
-    Pages are parsed and reduced to show fields before they meet the seeds, so no
-    element table is ever shuffled. A seed whose page is missing or unreadable keeps
+    Pages are parsed and reduced to show fields before they meet the seeds, so neither html
+    nor an element table is ever shuffled. When the seeds' urls are few enough to be sent to
+    the pages (checked), only wanted pages are parsed; otherwise all are, which costs less
+    than moving html. A seed whose page is missing or unreadable keeps
     what it knows; what a seed knows is never replaced.
     """
-    if seeds is not None:
-        pages = pages.join(seeds.select("url"), "url", "left_semi")
+    if seeds is not None and fits_broadcast(seeds.select("url")):
+        pages = pages.join(F.broadcast(seeds.select("url")), "url", "left_semi")
     dom = with_show_columns(dom_pass(pages)).where("parsed")
     dom = dom.withColumn("section", urls.section_by_path(F.col("url")))
     cinema = F.coalesce(F.col("section") == "cinema", F.lit(False))

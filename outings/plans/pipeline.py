@@ -33,9 +33,9 @@ def collect_shows(listings: DataFrame, details: DataFrame, cache: DataFrame, as_
     """listings(page_id, url, html, section, page), details(page_id, url, html), cache -> shows.
 
     A listing without html is a page that failed to load. The only tables shuffled are
-    links and shows; html stays where it is read, except that detail pages are cut down to
-    the wanted urls by a semi join. The checked shows are written once, because page counts,
-    shows, rejects and counters all come from them.
+    links and shows; html stays where it is read. The plan of urls is written once, because
+    what is fetched, reused and placed comes from it (and its size is then known); so are the
+    checked shows, because page counts, shows, rejects and counters come from them.
     """
     order = fr.section_order(sections)
     listings = listings.where(F.col("section").isin(*order))
@@ -43,7 +43,7 @@ def collect_shows(listings: DataFrame, details: DataFrame, cache: DataFrame, as_
     links = fr.extract_links(listings).join(places.select("page_id", "section", "page"), "page_id")
     seeds = fr.first_seen_links(fr.normalize_show_url(links, site), order).withColumn(
         "title", blank_to_null(F.col("text")))
-    planned = fr.refresh_plan(seeds, cache, as_of, hours)
+    planned = materialize(fr.refresh_plan(seeds, cache, as_of, hours), "planned")
 
     fetch = planned.where("action = 'fetch'").withColumn("crawled_at", F.lit(as_of.isoformat()))
     found = extract_shows(details, fetch.select("url", "title", "section", "crawled_at"), site)
