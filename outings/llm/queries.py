@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from outings.llm import sql
 from outings.llm.common import table
 from outings.llm.decontaminate import decontaminate
+from outings.llm.simhash import near_duplicates
+from outings.llm.substrings import remove_repeats
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +21,26 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", c["items"]).cast("binary"), 256).alias("items_sha256"), c.contaminated.alias("contaminated"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint and the smallest document reachable by near fingerprints."""
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words that are left when passages of smaller documents are cut."""
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    c = F.col("repeats")
+    return found.select("doc_id", c.n_words.alias("n_words"), c.n_removed.alias("n_removed"),
+                        F.sha2(c.kept.cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_simhash": op2_simhash,
+    "op4_substrings": op4_substrings,
 }
 ORACLES = {
     "op1_decontamination": sql.DECONTAMINATION,
+    "op4_substrings": sql.SUBSTRINGS,
 }

@@ -24,3 +24,14 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit.c, 0) AS n_hit, coalesce(per.c,
   coalesce(n_hit.c, 0) > 0 AND 20 * coalesce(n_hit.c, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN n_hit USING (r) LEFT JOIN per USING (r)
 """
+
+SUBSTRINGS = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, p, array_to_string(w[p : p + 12], ' ') AS k FROM d, unnest(range(1, len(w) - 11)) AS t(p)
+        WHERE len(w) >= 13 AND doc_id IS NOT NULL),
+low AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT r, list(DISTINCT q) AS qs FROM win JOIN low USING (k), unnest(range(p, p + 13)) AS t(q) WHERE doc_id > m GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(len(qs), 0) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN qs IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(qs, i)) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
