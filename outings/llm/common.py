@@ -12,13 +12,20 @@ from pyspark.sql import types as T
 
 from outings.session import materialize
 
-__all__ = ["append", "components", "free_name", "hash_words", "materialize", "pack", "table", "texts", "unpack"]
+__all__ = ["append", "arrow", "components", "free_name", "hash_words", "materialize", "pack", "table", "texts", "unpack"]
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrow(ddl: str) -> pa.Schema:
+    """A schema for Arrow batches; made on the driver."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(T.StructType.fromDDL(ddl))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
@@ -37,12 +44,11 @@ def append(df: DataFrame, name: str, kind: str, rows: Callable[[pa.RecordBatch],
     struct = T.StructType.fromDDL(kind)
     schema = T.StructType([*df.schema.fields, T.StructField(name, struct)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
+    kind_ = arrow(f"x struct<{kind}>").field(0).type
 
-        arrow = to_arrow_type(struct)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            added = pa.array(rows(batch), arrow)
+            added = pa.array(rows(batch), kind_)
             yield pa.RecordBatch.from_arrays([*batch.columns, added], names=schema.names)
 
     return df.mapInArrow(run, schema)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outings.llm.common import free_name, hash_words, pack, texts, unpack
+from outings.llm.common import arrow, free_name, hash_words, pack, texts, unpack
 
 KIND = "n_words long, n_removed long, spans array<struct<start: int, stop: int>>, kept string"
 SHORT = np.uint64(30)  # bits of a rolling window's hash within its shard
@@ -252,14 +252,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def judge(part: pa.Table) -> pa.Table:
         return told(later(*(part.column(c).to_pylist() for c in ("batch", "data", "ids"))), part.column("shard")[0].as_py())
 
+    kind = arrow(f"x struct<{KIND}>").field(0).type
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StructType.fromDDL(KIND))])
 
     def finish(part: pa.Table, replies: pa.Table) -> pa.Table:
-        from pyspark.sql.pandas.types import to_arrow_type
-
         own = words(part)
         result = cut(own, removed(own, window, bits, rows(replies)))
-        return part.remove_column(key_at).append_column(name, pa.array(result, to_arrow_type(schema[-1].dataType)))
+        return part.remove_column(key_at).append_column(name, pa.array(result, kind))
 
     batches = dealt.groupBy(key)
     hits = batches.applyInArrow(probe, packed).groupBy("shard").applyInArrow(match, packed)
