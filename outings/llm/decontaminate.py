@@ -119,7 +119,6 @@ class Automaton:
                     matched = self.length[s]
                 s = self.next[s].get(c, 0)
                 matched = matched + 1 if s else 0
-                longest = max(longest, matched)
                 hit = 0
                 if matched >= self.window:
                     found |= self.items.get(self.base[s], set())
@@ -131,6 +130,7 @@ class Automaton:
                         hit = max(hit, self.length[t])
                         t = self.shorter[t]
                 if hit:
+                    longest = max(longest, matched)
                     spans.append((at - hit, at))
         return merged(spans), found, longest
 
@@ -228,7 +228,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     """``docs`` with what of them lies in ``benchmark``, as one struct column.
 
     n_words, n_hit: words, and words inside an occurrence of a window (``window`` words of an item, or
-    a whole shorter item). longest: the longest match followed. items: ids of the items with occurring
+    a whole shorter item). longest: the longest match with words of the items that holds a window. items: ids of the items with occurring
     windows, sorted. spans: hit words as [start, stop). contaminated: ``times * n_hit >= n_words`` and a
     hit. cut: the text without the spans of ``min_span`` words and more, and without spans at all where the
     document is contaminated; null where the text stands as it is.
