@@ -27,8 +27,12 @@ from pyspark.sql import DataFrame
 
 from outings.llm.common import append, free_name
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>", re.S)
+MARK = re.compile(r"<(?=[a-zA-Z!?]|/[a-zA-Z])")
+ASIDE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?", re.S)
+END = re.compile(r"</([a-zA-Z][^\s/>]*)[^>]*>")
+START = re.compile(r"<([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>")
+UNQUOTED = re.compile(r"<([a-zA-Z][^\s/>]*)([^>]*)>")
+PATIENCE = 8  # tags whose quotes don't close before the page is read without regard to quotes
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SPACES = re.compile(r"[ \t\n\r\f]+")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
@@ -94,16 +98,25 @@ def nested(page: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
         while last is not None and len(stack) > last:
             yield pop()
 
-    at, size = 0, len(page)
+    at, size, patience, last = 0, len(page), PATIENCE, page.rfind(">")
     while at < size:
-        found = TOKEN.search(page, at)
-        stop = found.start() if found else size
+        mark = MARK.search(page, at)
+        start = mark.start() if mark else size
+        found, ending, tag = None, None, None
+        if mark and page[start + 1] in "!?":
+            found = ASIDE.match(page, start)
+        elif mark and start < last and page[start + 1] == "/":
+            found = END.match(page, start)
+            ending = found[1]
+        elif mark and start < last:
+            found = START.match(page, start) if patience else None
+            if not found:
+                found, patience = UNQUOTED.match(page, start), max(0, patience - 1)
+            tag = found[1]
+        stop = start if found else min(size, start + 1) if start < last else size
         if stop > at:
             yield "text", html.unescape(page[at:stop]), None
-        if not found:
-            break
-        at = found.end()
-        ending, tag = found[1], found[2]
+        at = found.end() if found else stop
         if ending:
             tag = ending.lower()
             if tag == "p" and not held.get("p"):
@@ -122,7 +135,7 @@ def nested(page: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
                         break
         elif tag:
             tag = tag.lower()
-            attrs = attributes(found[3]) if found[3].strip(" \t\n\r/") else {}
+            attrs = attributes(found[2]) if found[2].strip(" \t\n\r/") else {}
             if tag in BLOCK and held.get("p"):
                 yield from until(frozenset({"p"}), SCOPE)
             if tag in CLOSES:
@@ -140,7 +153,7 @@ def nested(page: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
                 at = end.start() if end else size
-            elif found[3].endswith("/") and tag in ("svg", "math"):
+            elif found[2].endswith("/") and tag in ("svg", "math"):
                 yield pop()
     while stack:
         yield pop()
