@@ -61,8 +61,8 @@ def directions(sample: np.ndarray, most: int) -> np.ndarray:
 class Side:
     """A block: vectors in grid order with their norms and projections."""
 
-    def __init__(self, data: bytes, classes: bytes, counts: bytes, size: int, axes: np.ndarray):
-        self.vectors = np.frombuffer(data, np.float64).reshape(-1, size)
+    def __init__(self, data: bytes, classes: bytes, counts: bytes, size: int, axes: np.ndarray, kind: str):
+        self.vectors = np.frombuffer(data, kind).reshape(-1, size).astype(np.float64)
         self.norms = np.sqrt(np.einsum("ij,ij->i", self.vectors, self.vectors))
         self.low = self.vectors / self.norms[:, None] @ axes
         self.classes, self.counts = np.frombuffer(classes, np.int64), np.frombuffer(counts, np.int64)
@@ -99,8 +99,12 @@ def join(x: Side, y: Side, threshold: float, eps: float) -> Iterator[tuple[np.nd
             todo += [(a, b, c, (c + d) // 2), (a, b, (c + d) // 2, d)]
 
 
-def vector_links(classes: DataFrame, threshold: float, block: int, axes: int, purpose: str = "embeddings") -> DataFrame:
-    """Of distinct vectors (class, v, n): rows (a, null, number of links) and (a, b, null), a forest of links; stored."""
+def vector_links(classes: DataFrame, threshold: float, block: int, axes: int, kind: str, purpose: str = "embeddings") -> DataFrame:
+    """Of distinct vectors (class, v, n): rows (a, null, number of links) and (a, b, null), a forest of links; stored.
+
+    ``kind``: how components are stored on the way, ``f4`` where the vectors are of floats. A pair of blocks
+    sends both, so what is shuffled falls with the size of a block, which is also what a task holds.
+    """
     spark = classes.sparkSession
     eps = float(np.sqrt(2 - 2 * threshold))
     size = classes.agg(F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first().d
@@ -115,7 +119,7 @@ def vector_links(classes: DataFrame, threshold: float, block: int, axes: int, pu
             low = v / np.linalg.norm(v, axis=1, keepdims=True) @ turn.value
             cell = np.floor(low / eps).astype(np.int32) if len(low) else np.zeros((0, 1), np.int32)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(2), pa.array([x.tobytes() for x in v], pa.binary()),
+                batch.column(0), batch.column(2), pa.array([x.tobytes() for x in v.astype(kind)], pa.binary()),
                 pa.array(cell.tolist(), pa.list_(pa.int32()))], names=["class", "n", "v", "cell"])
 
     ordered = classes.select("class", "v", "n").mapInArrow(cells, "class long, n long, v binary, cell array<int>")
@@ -125,10 +129,10 @@ def vector_links(classes: DataFrame, threshold: float, block: int, axes: int, pu
         held: list[dict] = []
 
         def out() -> pa.RecordBatch:
-            side = Side(b"".join(r["v"] for r in held), np.array([r["class"] for r in held]).tobytes(), np.array([r["n"] for r in held]).tobytes(), size, turn.value)
+            side = Side(b"".join(r["v"] for r in held), np.array([r["class"] for r in held]).tobytes(), np.array([r["n"] for r in held]).tobytes(), size, turn.value, kind)
             low, high = side.box(0, len(held))
             row = {"block": held[0]["class"], "low": low.tolist(), "high": high.tolist(), "cells": [list(c) for c in sorted({tuple(r["cell"][:keys]) for r in held})],
-                   "v": side.vectors.tobytes(), "classes": side.classes.tobytes(), "counts": side.counts.tobytes()}
+                   "v": b"".join(r["v"] for r in held), "classes": side.classes.tobytes(), "counts": side.counts.tobytes()}
             held.clear()
             return pa.RecordBatch.from_pylist([row], pa.schema([
                 ("block", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("cells", pa.list_(pa.list_(pa.int32()))),
@@ -168,8 +172,8 @@ def vector_links(classes: DataFrame, threshold: float, block: int, axes: int, pu
         for batch in batches:
             for k in range(batch.num_rows):
                 one, two, v1, c1, n1, v2, c2, n2 = (c[k].as_py() for c in batch.columns)
-                x = Side(v1, c1, n1, size, turn.value)
-                y = x if one == two else Side(v2, c2, n2, size, turn.value)
+                x = Side(v1, c1, n1, size, turn.value, kind)
+                y = x if one == two else Side(v2, c2, n2, size, turn.value, kind)
                 shift = 0 if x is y else len(x.classes)
                 forest, edges = Forest(len(y.classes) + shift), []
                 mine, theirs = np.zeros(len(x.classes), np.int64), np.zeros(len(y.classes), np.int64)
@@ -195,7 +199,7 @@ def vector_links(classes: DataFrame, threshold: float, block: int, axes: int, pu
 
 
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95,
-                 block: int = 512, axes: int = 8) -> DataFrame:
+                 block: int = 4096, axes: int = 8) -> DataFrame:
     """``vectors`` with n_links, component (the smallest id reachable by links) and kept (that id is its own)."""
     name = free_name(vectors, "links")
     v = F.transform(F.col(embedding), lambda x: x.cast("double"))
@@ -205,7 +209,8 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     classes = materialize(
         rows.where("__v is not null").groupBy(F.col("__v").alias("v")).agg(F.count("*").alias("n"), F.min(vec_id).alias("low"))
         .withColumn("class", F.monotonically_increasing_id()), "embeddings")
-    found = vector_links(classes, threshold, block, axes)
+    kind = "f4" if dict(vectors.dtypes)[embedding] == "array<float>" else "f8"
+    found = vector_links(classes, threshold, block, axes, kind)
     label = components(found.where("b is not null").select("a", "b"), "embeddings")
     degree = found.where("b is null").groupBy("a").agg(F.sum("n").alias("others"))
     marked = classes.join(degree, classes["class"] == degree.a, "left").join(label, F.col("class") == F.col("node"), "left").select(
