@@ -72,7 +72,18 @@ GENRE_LABEL = (
     r"(?iuU)\bgenre(?:s)?\s*:\s*(.+?)(?=\b(?:durée|duree|date\s+de\s+sortie|sortie|"
     r"nationalité|réalisateur|réalisation|avec|casting|titre\s+original)\b|$)"
 )
-RELEASE_LABEL = r"(?:date\s+de\s+sortie|sortie|date\s+de\s+ressortie|ressortie)[^:]*[:\-]?\s*"
+# Date wordings. ``MONTH`` stands for any month name or abbreviation from the tables above.
+NUMERIC_SPAN = r"(?iu)du\s+(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})\s+au\s+(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})"
+TWO_YEAR_SPAN = r"(?iu)du\s+(\d{1,2})\s+(MONTH)\s+(\d{4})\s+au\s+(\d{1,2})\s+(MONTH)\s+(\d{4})"
+ONE_YEAR_SPAN = r"(?iu)du\s+(\d{1,2})\s+(MONTH)\s+au\s+(\d{1,2})\s+(MONTH)\s+(\d{4})"
+ONE_MONTH_SPAN = r"(?iu)du\s+(\d{1,2})\s+au\s+(\d{1,2})\s+(MONTH)\s+(\d{4})"
+FROM_DAY = r"(?iu)à\s+partir\s+du\s+(\d{1,2})\s+(MONTH)\s+(\d{4})"
+UNTIL_DAY = r"(?iu)jusqu['’]?au\s+(\d{1,2})\s+(MONTH)\s+(\d{4})"
+WORD_DAY = r"(?iu)(\d{1,2})\s+(MONTH)\s+(\d{4})"
+RELEASE = (
+    r"(?iuU)\b(?:date\s+de\s+sortie|sortie|date\s+de\s+ressortie|ressortie)[^:]*[:\-]?\s*"
+    r"((\d{1,2})[/-](\d{1,2})[/-](\d{2,4})|\d{1,2}\s+MONTH\s+\d{4})"
+)
 JSONLD_GENRE = r'(?is)"genre"\s*:\s*(?:"([^"]+)"|\[(.*?)\])'
 JSONLD_DURATION = r'(?i)"duration"\s*:\s*"([^"]+)"'
 JSONLD_RELEASE = r'(?i)"(?:datePublished|dateCreated|startDate|releaseDate)"\s*:\s*"([^"]+)"'

@@ -16,19 +16,20 @@ def _month_alternation() -> str:
 
 
 MONTH = _month_alternation()
-_FLAGS = "(?iu)"
-_NUMERIC = fv.NUMERIC_DATE
-_DAY = r"(\d{1,2})"
-_WORD = rf"{_DAY}\s+({MONTH})\s+(\d{{4}})"
-
-NUMERIC_SPAN = rf"{_FLAGS}du\s+{_NUMERIC}\s+au\s+{_NUMERIC}"
-TWO_YEAR_SPAN = rf"{_FLAGS}du\s+{_WORD}\s+au\s+{_WORD}"
-ONE_YEAR_SPAN = rf"{_FLAGS}du\s+{_DAY}\s+({MONTH})\s+au\s+{_WORD}"
-ONE_MONTH_SPAN = rf"{_FLAGS}du\s+{_DAY}\s+au\s+{_WORD}"
-FROM_DAY = rf"{_FLAGS}à\s+partir\s+du\s+{_WORD}"
-UNTIL_DAY = rf"{_FLAGS}jusqu['’]?au\s+{_WORD}"
-WORD_DAY = _FLAGS + _WORD
-RELEASE = rf"(?iuU)\b{fv.RELEASE_LABEL}({_NUMERIC}|\d{{1,2}}\s+{MONTH}\s+\d{{4}})"
+
+
+def _with_months(pattern: str) -> str:
+    return pattern.replace("MONTH", MONTH)
+
+
+NUMERIC_SPAN = _with_months(fv.NUMERIC_SPAN)
+TWO_YEAR_SPAN = _with_months(fv.TWO_YEAR_SPAN)
+ONE_YEAR_SPAN = _with_months(fv.ONE_YEAR_SPAN)
+ONE_MONTH_SPAN = _with_months(fv.ONE_MONTH_SPAN)
+FROM_DAY = _with_months(fv.FROM_DAY)
+UNTIL_DAY = _with_months(fv.UNTIL_DAY)
+WORD_DAY = _with_months(fv.WORD_DAY)
+RELEASE = _with_months(fv.RELEASE)
 
 SPAN_TYPE = "struct<start:string,end:string>"
 

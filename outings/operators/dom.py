@@ -1,7 +1,8 @@
 """One HTML pass per page; everything after it is native Spark.
 
-The pass keeps the page's visible text once and describes elements by offsets
-into it, so nested elements do not repeat their text. Rules (which element
+The pass keeps the page's visible text, and its pieces in order; elements are described by
+offsets into the text and by their first and last piece, so nested elements do not repeat their
+text and reading one costs its own length only. Rules (which element
 means what) live in ``extract.py`` as column expressions over this table.
 """
 
@@ -22,21 +23,26 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _ATTRS = ("class", "id", "itemprop", "href", "name", "property", "content", "type")
 _NODE = (
     "tag string, class string, id string, itemprop string, href string, name string, "
-    "property string, content string, type string, parent int, start int, stop int, "
+    "property string, content string, type string, parent int, start int, stop int, first int, last int, "
     "crumb boolean, raw string"
 )
 DOM = (
     "page_id bigint, url string, parsed boolean, text string, "
-    f"nodes array<struct<{_NODE}>>, texts array<struct<node int, start int, stop int>>"
+    f"nodes array<struct<{_NODE}>>, texts array<struct<node int, start int, stop int, word string>>"
 )
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset(("script", "style", "template"))
 
 
+#: Tags that end an open paragraph.
+_BLOCK = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+                   "header hr main menu nav ol p pre section table ul".split())
+
+
 class _Page(HTMLParser):
     """Collects elements and visible text of one page. End tags close the nearest open
-    element of that name; a stray end tag is ignored."""
+    element of that name; a stray end tag is ignored. A block ends an open paragraph."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -44,6 +50,7 @@ class _Page(HTMLParser):
         self.words: list[str] = []
         self.texts: list[tuple[int, int, int]] = []
         self._open: list[int] = []
+        self._count: dict[str, int] = {}
         self._pending: list[str] = []
         self._length = 0
 
@@ -51,7 +58,7 @@ class _Page(HTMLParser):
         raw, self._pending = "".join(self._pending), []
         if not raw:
             return
-        if any(self.nodes[i]["tag"] in _HIDDEN for i in self._open):
+        if any(self._count.get(tag) for tag in _HIDDEN):
             top = self.nodes[self._open[-1]]
             if top["tag"] == "script":
                 top["raw"] = (top["raw"] or "") + raw
@@ -65,19 +72,22 @@ class _Page(HTMLParser):
 
     def _close(self, index: int) -> None:
         node = self.nodes[index]
-        first, last = node["start"], len(self.texts)
+        first, last = node["first"], len(self.texts)
+        node["last"] = last
         node["start"], node["stop"] = (self.texts[first][1], self.texts[last - 1][2]) if first < last else (0, 0)
         if node["tag"] == "a":
             node["raw"] = "".join(self.words[first:last])
 
     def handle_starttag(self, tag, attrs):
         self._flush()
+        if tag in _BLOCK and self._count.get("p"):
+            self._end("p")
         values = {k: v or "" for k, v in attrs if k in _ATTRS}
         above = self.nodes[self._open[-1]] if self._open else None
         node = {k: values.get(k) for k in _ATTRS}
         node["class"] = " ".join(values["class"].split()) if "class" in values else None
         node.update(
-            tag=tag, parent=self._open[-1] if self._open else -1, start=len(self.texts), stop=0, raw=None,
+            tag=tag, parent=self._open[-1] if self._open else -1, start=0, stop=0, first=len(self.texts), last=0, raw=None,
             crumb=above is not None and (above["crumb"] or "breadcrumb" in (above["class"] or "").split()),
         )
         self.nodes.append(node)
@@ -85,6 +95,7 @@ class _Page(HTMLParser):
             self._close(len(self.nodes) - 1)
         else:
             self._open.append(len(self.nodes) - 1)
+            self._count[tag] = self._count.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -93,10 +104,16 @@ class _Page(HTMLParser):
 
     def handle_endtag(self, tag):
         self._flush()
-        if any(self.nodes[i]["tag"] == tag for i in self._open):
-            while self.nodes[self._open[-1]]["tag"] != tag:
-                self._close(self._open.pop())
-            self._close(self._open.pop())
+        if self._count.get(tag):
+            self._end(tag)
+
+    def _end(self, tag: str) -> None:
+        while True:
+            index = self._open.pop()
+            self._count[self.nodes[index]["tag"]] -= 1
+            self._close(index)
+            if self.nodes[index]["tag"] == tag:
+                return
 
     def handle_data(self, data):
         self._pending.append(data)
@@ -136,8 +153,8 @@ _NODE_ARROW = {
     name: {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[kind]
     for name, kind in (part.split() for part in _NODE.split(", "))
 }
-_TEXT_ARROW = {"node": pa.int32(), "start": pa.int32(), "stop": pa.int32()}
-_TEXT_AT = {"node": 0, "start": 1, "stop": 2}
+_TEXT_ARROW = {"node": pa.int32(), "start": pa.int32(), "stop": pa.int32(), "word": pa.string()}
+_TEXT_AT = {"node": 0, "start": 1, "stop": 2, "word": 3}
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +166,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 pa.array([p is not None for p in pages]),
                 pa.array([" ".join(p.words) if p else None for p in pages], pa.string()),
                 _list_of_structs([p.nodes if p else [] for p in pages], _NODE_ARROW, lambda x, k: x[k]),
-                _list_of_structs([p.texts if p else [] for p in pages], _TEXT_ARROW, lambda x, k: x[_TEXT_AT[k]]),
+                _list_of_structs([[(*t, w) for t, w in zip(p.texts, p.words)] if p else [] for p in pages], _TEXT_ARROW, lambda x, k: x[_TEXT_AT[k]]),
             ],
             names=["page_id", "url", "parsed", "text", "nodes", "texts"],
         )
@@ -166,10 +183,10 @@ def dom_pass(pages: DataFrame) -> DataFrame:
 # --- column helpers over the table above --------------------------------------
 
 
-def node_text(node: Column, text: Column | str = "text") -> Column:
-    """Visible text of an element (or text node), white space collapsed."""
-    page = F.col(text) if isinstance(text, str) else text
-    return F.substr(page, node["start"] + 1, node["stop"] - node["start"])
+def node_text(node: Column, texts: str = "texts") -> Column:
+    """Visible text of an element, white space collapsed: its pieces, joined."""
+    own = F.slice(F.col(texts), node["first"] + 1, node["last"] - node["first"])
+    return F.array_join(F.transform(own, lambda t: t["word"]), " ")
 
 
 def matches(node: Column, selector: str) -> Column:
@@ -187,9 +204,23 @@ def matches(node: Column, selector: str) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def select_texts(selector: str, nodes: str = "nodes") -> Column:
-    """Texts of all elements a selector finds, in page order."""
-    return F.transform(F.filter(F.col(nodes), lambda n: matches(n, selector)), lambda n: node_text(n))
+def outer_texts(selector: str, nodes: str = "nodes") -> Column:
+    """Texts of the elements a selector finds that lie in no other it finds, in page order.
+
+    An element's text holds that of the elements inside it, so a rule that takes the first
+    hit reads the same; and all texts together are no longer than the page.
+    """
+    spans = F.transform(F.filter(F.col(nodes), lambda n: matches(n, selector) & (n["last"] > n["first"])),
+                        lambda n: F.struct(n["first"].alias("first"), n["last"].alias("last")))
+    none = F.expr("cast(array() as array<struct<first: int, last: int>>)")
+
+    def step(state: Column, n: Column) -> Column:
+        outside = n["first"] >= state["end"]
+        return F.struct(F.when(outside, n["last"]).otherwise(state["end"]).alias("end"),
+                        F.when(outside, F.array_append(state["kept"], n)).otherwise(state["kept"]).alias("kept"))
+
+    kept = F.aggregate(spans, F.struct(F.lit(0).alias("end"), none.alias("kept")), step)["kept"]
+    return F.transform(kept, lambda n: node_text(n))
 
 
 def first_node(predicate, nodes: str = "nodes") -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from outings import fixed_values as fv
 from outings.functions import dates, fields, urls
 from outings.functions.text import blank_to_null, clean, contains_any, group, groups
-from outings.operators.dom import dom_pass, first_node, json_ld, matches, node_text, select_texts
+from outings.operators.dom import dom_pass, first_node, json_ld, node_text, outer_texts
 from outings.operators.sizes import fits_broadcast
 from outings.schemas import SHOWS, Site, conform
 
@@ -100,16 +100,23 @@ def venue_from_breadcrumb(dom: DataFrame, site: Site = Site(), rows: Column | No
 
 def extract_address(dom: DataFrame, rows: Column | None = None) -> DataFrame:
     """First address among the likely elements, else the first in the whole page text."""
-    candidates = F.concat(*[select_texts(s) for s in fv.ADDRESS_SELECTORS])
+    candidates = F.concat(*[outer_texts(s) for s in fv.ADDRESS_SELECTORS])
     hits = F.filter(F.transform(candidates, fields.parse_address), lambda a: a.isNotNull())
     return _fill(dom, "address", F.coalesce(_first(hits), fields.parse_address(F.col("text"))), rows)
 
 
-def theatre_dates(dom: DataFrame, rows: Column | None = None) -> DataFrame:
-    """Dates of the first candidate texts; what they give replaces what was there."""
-    texts = F.filter(F.concat(*[select_texts(s) for s in fv.DATE_SELECTORS]),
+def _first_texts(texts: Column, most: int | None) -> Column:
+    return F.array_join(texts if most is None else F.slice(texts, 1, most), " • ")
+
+
+def theatre_dates(dom: DataFrame, rows: Column | None = None, most: int | None = None) -> DataFrame:
+    """Dates of the candidate texts; what they give replaces what was there.
+
+    ``most`` bounds the texts that are read (``DATE_TEXT_CANDIDATES`` is a usual bound); without it all are.
+    """
+    texts = F.filter(F.concat(*[outer_texts(s) for s in fv.DATE_SELECTORS]),
                      lambda t: F.length(t) > fv.DATE_TEXT_MIN_CHARS)
-    span = dates.parse_date_range(F.array_join(F.slice(texts, 1, fv.DATE_TEXT_CANDIDATES), " • "))
+    span = dates.parse_date_range(_first_texts(texts, most))
     df = dom.withColumn("_span", F.when(_on(rows) & ~_both_dates(), span))
     return df.withColumns({
         "date_start": F.coalesce(F.col("_span.start"), F.col("date_start")),
@@ -138,7 +145,7 @@ def extract_prices(dom: DataFrame, rows: Column | None = None) -> DataFrame:
         holder = F.get(F.col("nodes"), t["node"])
         return fields.parse_prices(F.when(holder.isNotNull(), node_text(holder)).otherwise(F.col("text")))
 
-    telling = F.filter(F.col("texts"), lambda t: node_text(t).rlike(fv.TICKET_WORDS))
+    telling = F.filter(F.col("texts"), lambda t: t["word"].rlike(fv.TICKET_WORDS))
     found = F.filter(F.transform(telling, amounts), lambda p: p["low"].isNotNull())
     df = dom.withColumn("_price", F.when(_on(rows) & F.col("price_min_eur").isNull(), _first(found)))
     return df.withColumns({
@@ -151,14 +158,17 @@ def _no_duration() -> Column:
     return F.coalesce(F.col("duration_min"), F.lit(0)) == 0
 
 
-def extract_duration(dom: DataFrame, rows: Column | None = None) -> DataFrame:
-    """First token of the first texts that speak of a duration."""
+def extract_duration(dom: DataFrame, rows: Column | None = None, most: int | None = None) -> DataFrame:
+    """First token of the texts that speak of a duration.
+
+    ``most`` bounds the texts that are read (``DURATION_TEXT_CANDIDATES`` is a usual bound); without it all are.
+    """
 
     def telling(selector: str, hour_is_enough: bool) -> Column:
-        return F.filter(select_texts(selector), lambda t: fields.looks_like_duration(t, hour_is_enough))
+        return F.filter(outer_texts(selector), lambda t: fields.looks_like_duration(t, hour_is_enough))
 
     texts = F.concat(*[telling(*rule) for rule in fv.DURATION_SELECTORS])
-    joined = F.array_join(F.slice(texts, 1, fv.DURATION_TEXT_CANDIDATES), " • ")
+    joined = _first_texts(texts, most)
     return dom.withColumn("duration_min",
                           F.when(_on(rows) & _no_duration(), fields.parse_duration(joined)).otherwise(F.col("duration_min")))
 
@@ -217,14 +227,28 @@ def with_show_columns(dom: DataFrame) -> DataFrame:
     })
 
 
-def extract_shows(pages: DataFrame, seeds: DataFrame | None = None, site: Site = Site()) -> DataFrame:
-    """Detail pages -> shows, one row per page, or one per seed when seeds are given.
+def _latest_page(shows: DataFrame) -> DataFrame:
+    """One row per url: the page stored last, by page_id."""
+    alone = F.when(F.col("url").isNull(), F.col("page_id"))
+    return shows.groupBy("url", alone.alias("_alone")).agg(
+        F.max_by(F.struct(*[n for n in SHOWS.names if n != "url"]), "page_id").alias("s")).select("url", "s.*").select(*SHOWS.names)
+
+
+def unreadable_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url, reason) of pages without body or whose markup the parser refuses."""
+    empty = pages.where(F.col("html").isNull()).select("page_id", "url", F.lit("no body").alias("reason"))
+    return empty.unionByName(dom_pass(pages).where("NOT parsed").select("page_id", "url", F.lit("unreadable").alias("reason")))
 
-    Pages are parsed and reduced to show fields before they meet the seeds, so neither html
-    nor an element table is ever shuffled. When the seeds' urls are few enough to be sent to
-    the pages (checked), only wanted pages are parsed; otherwise all are, which costs less
-    than moving html. A seed whose page is missing or unreadable keeps
-    what it knows; what a seed knows is never replaced.
+
+def extract_shows(pages: DataFrame, seeds: DataFrame | None = None, site: Site = Site()) -> DataFrame:
+    """Detail pages -> shows, one row per url, or one per seed when seeds are given.
+
+    Pages are parsed and reduced to show fields before they meet each other or the seeds, so
+    neither html nor an element table is ever shuffled. Of pages that share a url the one with
+    the largest page_id counts; a page without url stays by itself. Seeds come as a stored table: when its
+    urls, measured, may be broadcast, only wanted pages are parsed; otherwise all are, which costs
+    less than moving html. A seed whose page is missing or unreadable keeps what it knows; what a
+    seed knows is never replaced. ``unreadable_pages`` names the pages that give no show.
     """
     if seeds is not None and fits_broadcast(seeds.select("url")):
         pages = pages.join(F.broadcast(seeds.select("url")), "url", "left_semi")
@@ -238,7 +262,7 @@ def extract_shows(pages: DataFrame, seeds: DataFrame | None = None, site: Site =
     df = jsonld_dates(theatre_dates(extract_address(df, theatre), theatre), theatre)
     df = extract_duration(extract_prices(theatre_category(df, theatre), theatre), theatre)
     df = cinema_duration(cinema_release_date(cinema_category(df, cinema), cinema), cinema)
-    found = conform(df, SHOWS)
+    found = _latest_page(conform(df, SHOWS, keep=("page_id",)))
     if seeds is None:
         return found
     known = conform(seeds, SHOWS).alias("s")

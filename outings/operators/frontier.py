@@ -26,12 +26,16 @@ def section_order(sections: list[str] | None = None) -> list[str]:
     return list(dict.fromkeys(wanted))
 
 
-def listing_urls(requests: DataFrame, site: Site = Site()) -> DataFrame:
-    """requests(section, max_pages) -> (section, page, url); page 1 is the bare listing URL."""
+def listing_urls(requests: DataFrame, site: Site = Site(), most: int | None = None) -> DataFrame:
+    """requests(section, max_pages) -> (section, page, url); page 1 is the bare listing URL.
+
+    ``most`` bounds the pages of a section (a polite crawl takes ``MAX_LISTING_PAGE``); without it all asked pages come.
+    """
     base = F.lit(None).cast("string")
     for section, path in site.listing_paths.items():
         base = F.when(F.col("section") == section, site.base_url + path).otherwise(base)
-    last = F.greatest(F.lit(1), F.least(F.col("max_pages"), F.lit(fv.MAX_LISTING_PAGE))).cast("int")
+    asked = F.col("max_pages") if most is None else F.least(F.col("max_pages"), F.lit(most))
+    last = F.greatest(F.lit(1), asked).cast("int")
     pages = (
         requests.withColumn("section", F.lower(F.trim("section")))
         .where(F.col("section").isin(*fv.SECTIONS))
@@ -102,9 +106,10 @@ def refresh_plan(frontier: DataFrame, cache: DataFrame, as_of: datetime,
     """Adds ``action`` to every frontier url: ``fetch`` or ``reuse``.
 
     Zero hours (or fewer) means a complete entry never expires; otherwise it expires
-    when strictly older. Times without a zone are read as UTC.
+    when strictly older. Times without a zone are read as UTC. A cache that repeats a url
+    counts with its latest entry.
     """
-    c = cache.select(
+    c = one_per_url(cache).select(
         F.col("url").alias("_url"),
         is_complete(F.coalesce(blank_to_null(F.col("section")), urls.section_by_path(F.col("url"))),
                     F.col("title"), F.col("category"), F.col("venue"), F.col("description")).alias("_complete"),
@@ -119,10 +124,17 @@ def refresh_plan(frontier: DataFrame, cache: DataFrame, as_of: datetime,
     return joined.withColumn("action", action).drop("_url", "_complete", "_crawled")
 
 
+def one_per_url(cache: DataFrame) -> DataFrame:
+    """The entry of every url that was crawled last (ties: the larger time text, then the larger record)."""
+    names = [c for c in cache.columns if c != "url"]
+    latest = F.max(F.struct(instant(F.col("crawled_at")).alias("_at"), "crawled_at", F.struct(*names).alias("r"))).alias("m")
+    return cache.groupBy("url").agg(latest).select("url", "m.r.*").select(*cache.columns)
+
+
 def merge_seed_cache(seeds: DataFrame, cache: DataFrame) -> DataFrame:
     """Cached rows of the seeds' urls; a seed fills section and title only where the cache has none."""
     s = seeds.select("url", F.col("section").alias("_section"), F.col("title").alias("_title"))
-    joined = s.join(conform(cache, SHOWS), "url")
+    joined = s.join(one_per_url(conform(cache, SHOWS)), "url")
     for name in ("section", "title"):
         kept = F.coalesce(blank_to_null(F.col(name)), blank_to_null(F.col(f"_{name}")), F.col(name))
         joined = joined.withColumn(name, kept)

@@ -11,9 +11,9 @@ from outings import fixed_values as fv
 from outings.operators.sizes import fits_broadcast
 from outings.schemas import SHOW_TO_WORK, WORKS, conform
 
-_KEY = "source_url"
+KEY = "source_url"
 _ALWAYS = ("title", "section")
-_DATA = [c for c in WORKS.names if c not in ("id", _KEY, "created_at", "updated_at")]
+DATA = [c for c in WORKS.names if c not in ("id", KEY, "created_at", "updated_at")]
 
 
 def shows_to_batch(shows: DataFrame) -> DataFrame:
@@ -26,28 +26,34 @@ def shows_to_batch(shows: DataFrame) -> DataFrame:
 def fold_batch(batch: DataFrame, order: str) -> DataFrame:
     """One row per source url with the effect of merging the rows one by one in ``order``:
     title and section of the last row, for the rest the last value that is not null."""
+    return _fold(batch, F.col(order))
+
+
+def _fold(batch: DataFrame, order) -> DataFrame:
     aggs = [
-        F.max_by(F.col(c), F.col(order)).alias(c) if c in _ALWAYS
-        else F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
-        for c in _DATA
+        F.max_by(F.col(c), order).alias(c) if c in _ALWAYS else F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c)
+        for c in DATA if c in batch.columns
     ]
-    return batch.groupBy(_KEY).agg(*aggs)
+    return batch.groupBy(KEY).agg(*aggs)
 
 
 def upsert_works(works: DataFrame, batch: DataFrame, now: datetime,
                  update_cols: list[str] | None = None) -> DataFrame:
-    """Merge a batch (unique by source url) into the catalog.
+    """Merge a batch into the catalog.
 
+    A batch that repeats a url is folded first, in the order of its column ``_order`` or, without
+    one, of the rows' values, so the catalog's key stays unique whatever comes in.
     New urls are inserted whole. Known urls take title and section always, other columns
     only where the batch has a value; id and created_at stay, updated_at moves.
 
-    A batch under the session's broadcast threshold is sent to the catalog, which is then
-    never shuffled; a larger one meets it in one full outer join on the (unique) key.
+    A batch whose measured size is under the session's broadcast threshold is sent to the catalog, which
+    is then never shuffled; a larger one meets it in one full outer join on the (unique) key.
     """
-    update_cols = _DATA if update_cols is None else update_cols
+    update_cols = DATA if update_cols is None else update_cols
     stamp = F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
     old = conform(works, WORKS, {"section": fv.DEFAULT_SECTION})
-    new = batch.select(_KEY, *[c for c in _DATA if c in batch.columns]).withColumn("_hit", F.lit(True))
+    order = F.col("_order") if "_order" in batch.columns else F.struct(*[c for c in DATA if c in batch.columns])
+    new = _fold(batch, order).withColumn("_hit", F.lit(True))
     hit, known = F.col("n._hit").isNotNull(), F.col("o.id").isNotNull()
 
     def value(c: str):
@@ -58,17 +64,17 @@ def upsert_works(works: DataFrame, batch: DataFrame, now: datetime,
             return F.when(hit, incoming).otherwise(F.col(f"o.{c}"))
         return F.coalesce(incoming, F.col(f"o.{c}"))
 
-    key = F.coalesce(F.col(f"o.{_KEY}"), F.col(f"n.{_KEY}"))
+    key = F.coalesce(F.col(f"o.{KEY}"), F.col(f"n.{KEY}"))
     columns = {
-        "id": F.coalesce(F.col("o.id"), F.sha2(key, 256)), _KEY: key,
+        "id": F.coalesce(F.col("o.id"), F.sha2(key, 256)), KEY: key,
         "created_at": F.when(known, F.col("o.created_at")).otherwise(stamp),
         "updated_at": F.when(hit, stamp).otherwise(F.col("o.updated_at")),
-        **{c: value(c) for c in _DATA},
+        **{c: value(c) for c in DATA},
     }
-    on = F.col(f"o.{_KEY}") == F.col(f"n.{_KEY}")
+    on = F.col(f"o.{KEY}") == F.col(f"n.{KEY}")
     if fits_broadcast(new):
-        seen = old.select(_KEY).join(F.broadcast(new.select(_KEY)), _KEY, "left_semi")
-        fresh = new.join(seen, _KEY, "left_anti")
+        seen = old.select(KEY).join(F.broadcast(new.select(KEY)), KEY, "left_semi")
+        fresh = new.join(seen, KEY, "left_anti")
         joined = old.alias("o").join(F.broadcast(new).alias("n"), on, "left").select("o.*", F.struct("n.*").alias("n"))
         added = fresh.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in WORKS.fields],
                              F.struct(*new.columns).alias("n"))

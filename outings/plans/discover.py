@@ -12,12 +12,8 @@ from outings import fixed_values as fv
 from outings.schemas import CARD_COLUMNS
 from outings.session import materialize
 
-# Newest works offered to the ordinary path of the all-users form. Two columns wide, so
-# the broadcast list stays under a megabyte whatever the catalog's size.
-DECK_LIST = 5000
-# Upper bound for the number of ranges the catalog is cut into for heavy users.
-MAX_RANGES = 2000
-RANGE_ROWS = 1000
+# Newest works whose ranks are looked up by broadcast: two columns wide, under a megabyte.
+DECK_HEAD = 5000
 
 
 def calendar_day(as_of: datetime) -> date:
@@ -97,95 +93,48 @@ def discover_total(works: DataFrame, reactions: DataFrame, user, as_of: datetime
 
 def discover_all_users(works: DataFrame, reactions: DataFrame, users: DataFrame, as_of: datetime,
                        per: int = fv.PER_DEFAULT, since: datetime | None = None, category: str | None = None,
-                       section: str | None = None, list_size: int = DECK_LIST) -> DataFrame:
+                       section: str | None = None, head: int = DECK_HEAD) -> DataFrame:
     """``discover`` for every user: (user_id, rank, work_id).
 
-    Never users x works. The newest ``list_size`` offered works are ranked once and
-    broadcast (a fixed bound). Per user, the ranks reacted to are gathered (at most the
-    list's length) and the first ``per`` free ranks are read off as an array difference:
-    one shuffle, no window, no anti join. Users who used up the list, if any, take the
-    exact path over the whole catalog in ``_heavy_decks``.
+    Never users x works, and one way at every size. The offer is ranked once, in range partitions
+    with offsets. Per user the ranks reacted to are gathered (the user's own history) and the first
+    ``per`` free ranks are read off as an array difference: no window, no anti join. Ranks become works again:
+    the newest ``head``, which nearly all decks hold, by broadcast (``head`` rows of two columns,
+    whatever the catalog's size), the others by a shuffled join on the rank.
     """
     per = _check_per(per)
-    list_size = max(list_size, per)
-    offered = _offered(works, as_of, since, category, section).select("id", "created_at")
-    # list_size rows at most, so ordering them in one task is cheap; written once because
-    # it is counted and then used twice
-    ranked = materialize(
-        offered.orderBy(*_newest_first()).limit(list_size)
-        .withColumn("rank", F.row_number().over(Window.orderBy(*_newest_first())))
-        .select(F.col("id").alias("work_id"), "rank"),
-        "ranked",
-    )
-    size = ranked.count()
-
+    ranked = rank_newest(_offered(works, as_of, since, category, section))
+    size = ranked.agg(F.count("*").alias("n")).scalar()
     taken = (
-        reactions.select("user_id", "work_id").join(F.broadcast(ranked), "work_id")
-        .groupBy("user_id").agg(F.collect_set("rank").alias("taken"))
+        reactions.select("user_id", "work_id").join(ranked, "work_id")
+        .groupBy("user_id").agg(F.collect_set("at").alias("taken"))
     )
-    ids = users.select("user_id")
-    known = ids.join(taken, "user_id", "left").select(
-        "user_id", F.coalesce("taken", F.array().cast("array<int>")).alias("taken"))
-
-    if size == 0:
-        return known.where("false").select("user_id", F.lit(0).alias("rank"), F.lit("").alias("work_id"))
-
-    reach = F.least(F.lit(size), F.size("taken") + per)
-    free = F.slice(F.array_except(F.sequence(F.lit(1), reach), "taken"), 1, per)
-    enough = F.size("taken") + per <= size
-
-    def decks(rows: DataFrame) -> DataFrame:
-        return (
-            rows.select("user_id", F.posexplode(free).alias("pos", "at"))
-            .join(F.broadcast(ranked.withColumnRenamed("rank", "at")), "at")
-            .select("user_id", (F.col("pos") + 1).alias("rank"), "work_id")
-        )
-
-    if size < list_size:  # the list is the whole offer: every deck is complete
-        return decks(known)
-    heavy = known.where(~enough).select("user_id")
-    if heavy.isEmpty():
-        return decks(known)
-    return decks(known.where(enough)).unionByName(_heavy_decks(offered, reactions, heavy, per))
-
-
-def _heavy_decks(offered: DataFrame, reactions: DataFrame, heavy: DataFrame, per: int) -> DataFrame:
-    """Exact decks for users who reacted to nearly all of the newest works.
-
-    The offer is cut into consecutive ranges of its order. Counting reactions per user and
-    range tells how many free works come before every range; only ranges needed to reach
-    ``per`` are opened.
-    """
-    total = offered.count()
-    rows_per_range = max(RANGE_ROWS, -(-total // MAX_RANGES))
-    ranges = -(-total // rows_per_range)
-    # written out, because range bounds are sampled and must not change between uses
-    placed = materialize(
-        offered.repartitionByRange(ranges, *_newest_first())
-        .select("id", "created_at", F.spark_partition_id().alias("range")), "ranges")
-    heavy = materialize(heavy, "heavy")
+    known = users.select("user_id").join(taken, "user_id", "left").select(
+        "user_id", F.coalesce("taken", F.array().cast("array<bigint>")).alias("taken"))
+    reach = F.least(size, F.size("taken") + F.lit(per).cast("bigint"))
+    every = F.when(reach > 0, F.sequence(F.lit(1).cast("bigint"), reach)).otherwise(F.array().cast("array<bigint>"))
+    decks = known.select("user_id", F.posexplode(F.slice(F.array_except(every, "taken"), 1, per)).alias("pos", "at")).select(
+        "user_id", (F.col("pos") + 1).alias("rank"), "at")
+    newest = decks.where(F.col("at") <= head).join(F.broadcast(ranked.where(F.col("at") <= head)), "at")
+    others = decks.where(F.col("at") > head).join(ranked.where(F.col("at") > head), "at")
+    return newest.unionByName(others).select("user_id", "rank", "work_id")
 
-    seen = (
-        reactions.select("user_id", "work_id").join(heavy, "user_id", "left_semi")
-        .join(placed.select(F.col("id").alias("work_id"), "range"), "work_id")
-    )
-    counts = seen.groupBy("user_id", "range").agg(F.count("*").alias("seen"))
-    sizes = placed.groupBy("range").agg(F.count("*").alias("size"))  # at most MAX_RANGES rows
-    before = Window.partitionBy("user_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    needed = (
-        heavy.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("range"))
-        .join(F.broadcast(sizes), "range").join(counts, ["user_id", "range"], "left")
-        .withColumn("free", F.col("size") - F.coalesce("seen", F.lit(0)))
-        .withColumn("before", F.coalesce(F.sum("free").over(before), F.lit(0)))
-        .where((F.col("before") < per) & (F.col("free") > 0)).select("user_id", "range")
-    )
-    order = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), F.col("work_id").asc())
-    return (
-        needed.join(placed.withColumnRenamed("id", "work_id"), "range")
-        .join(seen.select("user_id", "work_id"), ["user_id", "work_id"], "left_anti")
-        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per)
-        .select("user_id", "rank", "work_id")
-    )
+
+def rank_newest(offered: DataFrame) -> DataFrame:
+    """(work_id, at): the place of every work in the order of decks, from 1; stored.
+
+    Ranges are sorted each by itself; a range's first place is the number of rows before it.
+    """
+    spark = offered.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    low = F.lit((1 << 33) - 1)
+    ordered = offered.select(F.col("id").alias("id"), "created_at").repartitionByRange(parts, *_newest_first()).sortWithinPartitions(*_newest_first())
+    placed = materialize(ordered.withColumn("m", F.monotonically_increasing_id()).select(
+        F.col("id").alias("work_id"), F.shiftright("m", 33).alias("range"), F.col("m").bitwiseAND(low).alias("row")), "ranked")
+    sizes = placed.groupBy("range").agg(F.count("*").alias("n"))  # a row per shuffle partition
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(offsets), "range").select("work_id", (F.col("before") + F.col("row") + 1).alias("at"))
 
 
 def with_cards(decks: DataFrame, works: DataFrame, columns: list[str] | None = None) -> DataFrame:

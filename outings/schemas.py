@@ -65,12 +65,12 @@ class Site:
     listing_paths: dict[str, str] = field(default_factory=lambda: dict(fv.LISTING_PATHS))
 
 
-def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
-    """Select exactly ``schema``; columns an older table lacks become a default or null."""
+def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Select exactly ``schema`` (and ``keep``); columns an older table lacks become a default or null."""
     defaults = defaults or {}
     have = set(df.columns)
     return df.select(*[
         (F.coalesce(F.col(f.name), F.lit(defaults.get(f.name))) if f.name in have
          else F.lit(defaults.get(f.name))).cast(f.dataType).alias(f.name)
         for f in schema.fields
-    ])
+    ], *keep)

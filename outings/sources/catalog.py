@@ -7,6 +7,7 @@ nothing that is being read is ever overwritten.
 
 from __future__ import annotations
 
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException
@@ -18,7 +19,7 @@ from outings.schemas import IMPORT_JOBS, WORKS
 
 _LOG = T.StructType([
     T.StructField("version", T.LongType()), T.StructField("rows", T.LongType()),
-    T.StructField("token", T.StringType()),
+    T.StructField("token", T.StringType()), T.StructField("folder", T.StringType()),
 ])
 
 
@@ -45,28 +46,31 @@ def has_token(spark: SparkSession, root: str, token: str) -> bool:
 
 def read_snapshot(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """The current version, empty before the first."""
-    version = current_version(spark, root)
-    if version == 0:
+    last = snapshot_log(spark, root).agg(F.max_by("folder", F.struct("version", "folder"))).first()[0]
+    if last is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/v={version}").select(*schema.names)
+    return spark.read.schema(schema).parquet(f"{root}/{last}").select(*schema.names)
 
 
 def publish_snapshot(df: DataFrame, root: str, token: str | None = None,
                      partition_by: tuple[str, ...] = ()) -> int:
     """Write ``df`` as the next version and make it current; refuses an empty result.
 
-    With a ``token`` (say, a batch id) a repeated publication is a no-op.
+    With a ``token`` (say, a batch id) a repeated publication is a no-op. A table has one writer at a
+    time; folders are named anew, so a second one could not damage what the first wrote. Older
+    versions stay for those who still read them; whoever owns the table clears them.
     """
     spark = df.sparkSession
     if token is not None and has_token(spark, root, token):
         return current_version(spark, root)
     version = current_version(spark, root) + 1
-    path = f"{root}/v={version}"
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    folder = f"v{version}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/{folder}"
+    df.write.partitionBy(*partition_by).parquet(path)
     rows = spark.read.schema(df.schema).parquet(path).count()
     if rows == 0:
         raise ValueError("empty result is not published")
-    spark.createDataFrame([(version, rows, token)], _LOG).coalesce(1).write.mode("append").parquet(f"{root}/log")
+    spark.createDataFrame([(version, rows, token, folder)], _LOG).coalesce(1).write.mode("append").parquet(f"{root}/log")
     return version
 
 

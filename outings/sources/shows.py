@@ -74,9 +74,10 @@ def read_shows_lenient(spark: SparkSession, path: str) -> DataFrame:
     return shows.groupBy("url").agg(last).select("s.*")
 
 
-def check_lines(lines: DataFrame, site: Site = Site()) -> tuple[DataFrame, DataFrame]:
+def check_lines(lines: DataFrame, site: Site = Site(), scope: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(file, line_no, line) -> (normalized records, rejects(file, line_no, issues)).
 
+    A url may occur once in the whole input, in order of file and line, or once in each ``scope`` (say, a file).
     Checked lines are written once: records, rejects and the search for repeats all come
     from them, and every line is parsed a single time.
     """
@@ -84,20 +85,25 @@ def check_lines(lines: DataFrame, site: Site = Site()) -> tuple[DataFrame, DataF
     checked = materialize(validate_import(full, site).drop("line"), "checked-lines")
     bad = checked.where(F.size("issues") > 0).select("file", "line_no", "issues")
     good = normalize_import(checked.where(F.size("issues") == 0))
-    records, repeats = duplicate_url_check(good, "line_no", ["file"])
+    placed = good.withColumn("_at", F.struct("file", "line_no"))
+    records, repeats = duplicate_url_check(placed, "_at", list(scope))
+    elsewhere = F.when(F.col("first_line.file") != F.col("file"), F.concat(F.lit(" of "), F.col("first_line.file"))).otherwise("")
     repeated = repeats.select("file", "line_no", F.array(F.concat(
-        F.lit("url: duplicate of line "), F.col("first_line").cast("string"))).alias("issues"))
-    return records, bad.unionByName(repeated)
+        F.lit("url: duplicate of line "), F.col("first_line.line_no").cast("string"), elsewhere)).alias("issues"))
+    return records.drop("_at"), bad.unionByName(repeated)
 
 
 def read_shows_strict(spark: SparkSession, path: str, site: Site = Site(), strict: bool = True
                       ) -> tuple[DataFrame, DataFrame]:
-    """Import read: (records, rejects). Strict mode raises on the first bad line or an empty input."""
+    """Import read of a file or a folder: (records, rejects). Strict mode raises on the first bad line or an empty input.
+
+    A url seen earlier anywhere in the input is a bad line.
+    """
     records, rejects = check_lines(numbered_lines(spark, path), site)
     if strict:
         first = rejects.orderBy("file", "line_no").limit(1).collect()
         if first:
-            raise ValueError(f"Line {first[0].line_no}: invalid record ({'; '.join(first[0].issues)})")
+            raise ValueError(f"Line {first[0].line_no}: invalid record ({'; '.join(first[0].issues)}) in {first[0].file}")
         if records.isEmpty():
             raise ValueError(f"no records found in {path}")
     return records, rejects

@@ -34,7 +34,7 @@ from outings.sources import shows as sh
 from outings.sources.pages import scan_pages
 from outings.standin import sql
 from outings.standin import tables as st
-from outings.streaming.ingest import ingest_stream
+from outings.streaming.ingest import ingest_run
 from outings.streaming.reactions import compact_reactions, current_reactions, reaction_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,6 +151,12 @@ def _(spark, d):
     return di.discover_all_users(st.works(spark, d), _reactions(spark, d), st.users(spark, d), st.AS_OF, per=20)
 
 
+@query("discover_all_users_deep", ORACLES["discover_all_users"])
+def _(spark, d):
+    """Decks that reach past the newest works: none but the first ten is looked up by broadcast."""
+    return di.discover_all_users(st.works(spark, d), _reactions(spark, d), st.users(spark, d), st.AS_OF, per=20, head=10)
+
+
 @query("discover_totals_all_users", _with(sql.WORKS, sql.REACTIONS, sql.USERS) + f"""
 , open_ AS (SELECT id FROM works WHERE {CURRENT}),
 seen AS (SELECT user_id, count(*) AS n FROM reactions WHERE work_id IN (SELECT id FROM open_) GROUP BY 1)
@@ -612,6 +618,21 @@ def _(spark, d):
     return ex.extract_shows(st.rendered_pages(spark, d))
 
 
+@query("extract_shows_recrawled", ORACLES["extract_shows"])
+def _(spark, d):
+    """Every page is stored twice, an older version with another title before it."""
+    pages = st.rendered_pages(spark, d)
+    old = pages.withColumns({"page_id": F.col("page_id") - (1 << 40), "html": F.replace("html", F.lit("<h1>"), F.lit("<h1>Ancien "))})
+    return ex.extract_shows(pages.unionByName(old))
+
+
+@query("given_titles", """
+SELECT page_id, nullif(trim(regexp_replace(replace(regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title FROM pages""")
+def _(spark, d):
+    """The given pages, none of which this package wrote."""
+    return ex.extract_core(ex.with_show_columns(dom_pass(st.table(spark, d, "pages")))).select("page_id", "title")
+
+
 @query("collect_shows", RENDERED + """
 , swapped AS (
   SELECT *, CASE WHEN date_end < date_start THEN date_end ELSE date_start END AS a,
@@ -726,36 +747,35 @@ def _(spark, d):
 # --- files and streams --------------------------------------------------------------------------------
 
 
-@query("write_shows", _with(sql.CACHE) + f"SELECT {SHOW_COLUMNS} FROM cache")
+@query("write_shows", _with(sql.SHOWS) + f"SELECT {SHOW_COLUMNS} FROM shows")
 def _(spark, d):
     path = scratch_dir(spark, "shows")
-    sh.write_shows(st.cache(spark, d), path)
+    sh.write_shows(st.shows(spark, d), path)
     return spark.read.schema(SHOWS).json(path)
 
 
-@query("read_shows_lenient", _with(sql.CACHE) + f"SELECT {SHOW_COLUMNS} FROM cache")
+@query("read_shows_lenient", _with(sql.SHOWS) + f"SELECT {SHOW_COLUMNS} FROM shows")
 def _(spark, d):
     """Each record is written twice, an old version before it, between blank and broken lines."""
     path = scratch_dir(spark, "lines")
-    cache = st.cache(spark, d)
     record = F.to_json(F.struct(*SHOWS.names), {"ignoreNullFields": "false"})
     old = F.to_json(F.struct("url", F.lit("ancien").alias("title")))
     lines = F.array(old, F.lit("  "), F.lit("{broken"), F.lit('{"url": 5}'), F.lit("[1]"), record)
-    cache.select(F.array_join(lines, "\n").alias("value")).write.text(path)
+    st.shows(spark, d).select(F.array_join(lines, "\n").alias("value")).write.text(path)
     return sh.read_shows_lenient(spark, path)
 
 
-@query("read_shows_strict", _with(sql.CACHE) + """
-, priced AS (SELECT *, price_min_eur * 0.52 AS p FROM cache)
+@query("read_shows_strict", _with(sql.SHOWS) + """
+, priced AS (SELECT *, price_min_eur * 0.52 AS p FROM shows)
 SELECT title, section, count(*) AS n, 1 AS odd FROM priced WHERE p <= 500 GROUP BY 1, 2
 UNION ALL SELECT 'rejected', issues, n, 1 FROM (
   SELECT 'price_min_eur: outside 0..500' AS issues, count(*) AS n FROM priced WHERE p > 500) WHERE n > 0""")
 def _(spark, d):
     """A blank line follows every record, so records stand on odd lines."""
     path = scratch_dir(spark, "strict")
-    cache = st.cache(spark, d).withColumns({"price_min_eur": F.col("price_min_eur") * 0.52, "price_max_eur": F.lit(None).cast("double")})
+    priced = st.shows(spark, d).withColumns({"price_min_eur": F.col("price_min_eur") * 0.52, "price_max_eur": F.lit(None).cast("double")})
     record = F.to_json(F.struct(*SHOWS.names), {"ignoreNullFields": "false"})
-    cache.select(F.concat(record, F.lit("\n")).alias("value")).write.text(path)
+    priced.select(F.concat(record, F.lit("\n")).alias("value")).write.text(path)
     records, rejects = sh.read_shows_strict(spark, path, strict=False)
     odd = (F.min(F.col("line_no") % 2)).cast("int").alias("odd")
     good = records.groupBy("title", "section").agg(F.count("*").alias("n"), odd)
@@ -764,6 +784,31 @@ def _(spark, d):
     return good.unionByName(bad)
 
 
+@query("read_shows_folder", _with(sql.SHOWS) + """
+, priced AS (SELECT p_partkey, title, price_min_eur * 0.52 AS p FROM shows)
+SELECT 'kept' AS outcome, title, count(*) AS n FROM priced WHERE p <= 500 GROUP BY 2
+UNION ALL SELECT 'b repeats a', title, count(*) FROM priced WHERE p <= 500 AND p_partkey % 5 = 0 GROUP BY 2
+UNION ALL SELECT 'too dear', title, n FROM (
+  SELECT NULL AS title, sum(CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 1 END) AS n FROM priced WHERE p > 500) WHERE n > 0""")
+def _(spark, d):
+    """All works in several part files of folder a, every fifth again in folder b; both are one input."""
+    path = scratch_dir(spark, "folder")
+    record = F.to_json(F.struct(*SHOWS.names), {"ignoreNullFields": "false"}).alias("value")
+    rows = st.shows(spark, d).withColumns({"price_min_eur": F.col("price_min_eur") * 0.52, "price_max_eur": F.lit(None).cast("double")})
+    rows.repartition(3).select(record).write.text(f"{path}/part=a")
+    rows.where(F.regexp_extract("url", r"oeuvre-(\d+)", 1).cast("bigint") % 5 == 0).repartition(2).select(record).write.text(f"{path}/part=b")
+    records, rejects = sh.read_shows_strict(spark, path, strict=False)
+    titles = spark.read.schema(SHOWS).json(path).select("url", "title").distinct()
+    lines = sh.numbered_lines(spark, path).select("file", "line_no", F.get_json_object("line", "$.title").alias("title"))
+    issue = F.col("issues")[0]
+    part = F.regexp_extract("file", "part=(.)", 1)
+    repeat = issue.rlike("^url: duplicate of line [0-9]+ of .*part=a/")
+    bad = rejects.join(lines, ["file", "line_no"]).select(
+        F.when(repeat, F.concat(part, F.lit(" repeats a"))).otherwise("too dear").alias("outcome"), F.when(repeat, F.col("title")).alias("title"))
+    good = records.join(titles, ["url", "title"]).select(F.lit("kept").alias("outcome"), "title")
+    return good.unionByName(bad).groupBy("outcome", "title").agg(F.count("*").alias("n"))
+
+
 @query("publish_snapshot", _with(sql.WORKS) + MERGED)
 def _(spark, d):
     """First version published, then merged and published again; the merged one is read back."""
@@ -788,15 +833,14 @@ def _(spark, d):
 
 @query("reaction_stream", ORACLES["fold_reactions"])
 def _(spark, d):
-    """The event log as files, streamed in several batches with a compaction in between."""
-    source, root = scratch_dir(spark, "events"), scratch_dir(spark, "state")
-    checkpoint = scratch_dir(spark, "checkpoint")
-    events = st.reaction_events(spark, d)
-    events.where("seq % 2 = 0").repartition(4).write.parquet(source)
-    reaction_stream(spark, source, root, checkpoint, files_per_batch=2).awaitTermination()
-    compact_reactions(spark, root)
-    events.where("seq % 2 <> 0").repartition(2).write.mode("append").parquet(source)
-    reaction_stream(spark, source, root, checkpoint, files_per_batch=2).awaitTermination()
+    """The event log as files of two sources with a checkpoint each, streamed in batches; a compaction lies between."""
+    root, events = scratch_dir(spark, "state"), st.reaction_events(spark, d)
+    for even in (True, False):
+        source = scratch_dir(spark, "events")
+        events.where(f"(seq % 2 = 0) = {even}").repartition(4).write.parquet(source)
+        reaction_stream(spark, source, root, scratch_dir(spark, "checkpoint"), files_per_batch=2).awaitTermination()
+        if even:
+            compact_reactions(spark, root)
     return current_reactions(spark, root)
 
 
@@ -804,15 +848,16 @@ def _(spark, d):
 SELECT sha256(source_url) AS id, title, section, category, venue, duration_min, CAST(start_date AS VARCHAR) AS start_date,
        source_url FROM works WHERE category <> 'PROMO'""")
 def _(spark, d):
-    """One folder of lines per category; every PROMO file holds a bad line and is refused whole."""
-    source = scratch_dir(spark, "drop")
+    """Two drops with a checkpoint each, a folder of lines per category; every PROMO file holds a bad line and is refused whole."""
     w = st.works(spark, d).select(
         F.col("source_url").alias("url"), "title", "section", "category", "venue", "address",
         st.text_of("start_date").alias("date_start"), "duration_min", F.col("image_url").alias("image"), "description")
     line = F.to_json(F.struct(*w.columns), {"ignoreNullFields": "false"})
     line = F.when(F.col("category") == "PROMO", F.concat(line, F.lit("\n{broken"))).otherwise(line)
-    w.select(line.alias("value"), F.col("category").alias("kind")).repartition(6, "kind").write.partitionBy("kind").text(source)
     root = scratch_dir(spark, "ingested")
-    ingest_stream(spark, f"{source}/*", root, scratch_dir(spark, "checkpoint"), lambda: st.NOW,
-                  files_per_batch=3).awaitTermination()
+    for cinema in (True, False):
+        source = scratch_dir(spark, "drop")
+        w.where((F.col("section") == "cinema") == cinema).select(line.alias("value"), F.col("category").alias("kind")).repartition(
+            6, "kind").write.partitionBy("kind").text(source)
+        ingest_run(spark, f"{source}/*", root, scratch_dir(spark, "checkpoint"), lambda: st.NOW, files_per_batch=3)
     return catalog.scan_works(spark, root).select("id", "title", "section", "category", "venue", "duration_min", "start_date", "source_url")

@@ -69,14 +69,16 @@ LINKS = f"""links AS (
   FROM lineitem
 )"""
 
-CACHE = WORKS + """, cache AS (
-  SELECT source_url AS url, title, section, category, venue, address,
+SHOWS = WORKS + """, shows AS (
+  SELECT p_partkey, source_url AS url, title, section, category, venue, address,
          CAST(start_date AS VARCHAR) AS date_start, CAST(end_date AS VARCHAR) AS date_end, duration_min,
          price_min AS price_min_eur, price_max AS price_max_eur, image_url AS image, description,
          CAST(end_date AS VARCHAR) || 'T00:00:00Z' AS crawled_at, end_date AS crawled_day
-  FROM works WHERE p_partkey % 4 <> 0
+  FROM works
 )"""
 
+CACHE = SHOWS + """, cache AS (SELECT * EXCLUDE (p_partkey) FROM shows WHERE p_partkey % 4 <> 0)"""
+
 DIRTY = SALES + f""", dirty AS (
   SELECT '{BASE}' || CASE WHEN l_linenumber = 7 THEN '/autre/' WHEN l_partkey % 3 = 0 THEN '/cinema/' ELSE '/theatre/' END
            || 'lieu-1/oeuvre-' || (l_orderkey * 10 + l_linenumber) || '.html' AS url,

@@ -103,8 +103,13 @@ def frontier_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Show records of three works out of four, crawled at their last shipping day."""
-    w = works(spark, sf_dir).where("CAST(id AS BIGINT) % 4 <> 0")
+    """Show records of three works out of four: what a frontier meets partly filled."""
+    return shows(spark, sf_dir, works(spark, sf_dir).where("CAST(id AS BIGINT) % 4 <> 0"))
+
+
+def shows(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Show records of works (all of them), crawled at their last shipping day."""
+    w = works(spark, sf_dir) if of is None else of
     return w.select(
         F.col("source_url").alias("url"), "title", "section", "category", "venue", "address",
         text_of("start_date").alias("date_start"), text_of("end_date").alias("date_end"), "duration_min",

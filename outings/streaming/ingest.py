@@ -1,4 +1,8 @@
-"""Show files into the catalog as they arrive."""
+"""Show files into the catalog as they arrive.
+
+A micro-batch is checked, folded and staged under its stream's id and its batch id; the catalog
+is merged and published once per run, so a thousand files cost one new version and not one each.
+"""
 
 from __future__ import annotations
 
@@ -7,45 +11,58 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from outings.operators.merge import fold_batch, shows_to_batch, upsert_works
-from outings.schemas import SHOWS, Site
+from outings.operators.merge import DATA, KEY, fold_batch, shows_to_batch, upsert_works
+from outings.schemas import SHOWS, WORKS, Site
 from outings.session import materialize
-from outings.sources.catalog import has_token, scan_works, write_works
+from outings.sources.catalog import current_version, read_if_exists, scan_works, write_works
 from outings.sources.shows import check_lines, number_lines, with_place
+from outings.streaming.marks import beyond, last_batches, marks_of, stream_id, token_of
+
+_STAGED = T.StructType([
+    *[WORKS[c] for c in (KEY, *DATA)], T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())])
 
 
-def ingest_batch(lines: DataFrame, works_root: str, rejects_root: str, token: str, now: datetime,
-                 site: Site = Site()) -> None:
-    """Merge one batch of (file, block, line). A file with a bad line is refused whole.
+def stage_batch(lines: DataFrame, works_root: str, stream: str, batch_id: int, site: Site = Site()) -> None:
+    """Check and fold one batch of (file, block, line). A file with a bad line is refused whole.
 
-    Running it again with the same token changes nothing.
+    Running it again replaces what it wrote, its rejects too.
     """
-    spark = lines.sparkSession
-    if has_token(spark, works_root, token):
-        return
+    spark, place = lines.sparkSession, f"stream={stream}/batch={batch_id}"
     rows = lines.withColumn("row", F.monotonically_increasing_id())
-    records, rejects = check_lines(number_lines(rows), site)
-    rejects.write.mode("overwrite").parquet(f"{rejects_root}/batch={token}")
-    refused = spark.read.schema(rejects.schema).parquet(f"{rejects_root}/batch={token}").select("file").distinct()
+    records, rejects = check_lines(number_lines(rows), site, scope=("file",))
+    rejects.write.mode("overwrite").parquet(f"{works_root}-rejects/{place}")
+    refused = spark.read.schema(rejects.schema).parquet(f"{works_root}-rejects/{place}").select("file").distinct()
     good = records.join(refused, "file", "left_anti").withColumn("_order", F.struct("file", "line_no"))
-    batch = materialize(fold_batch(shows_to_batch(good.select(*SHOWS.names, "_order")), "_order"), "batch")
-    if batch.isEmpty():
-        return
-    write_works(upsert_works(scan_works(spark, works_root), batch, now), works_root, token)
+    fold_batch(shows_to_batch(good.select(*SHOWS.names, "_order")), "_order").write.mode("overwrite").parquet(f"{works_root}-staged/{place}")
 
 
-def ingest_stream(spark: SparkSession, directory: str, works_root: str, checkpoint: str,
-                  clock: Callable[[], datetime], site: Site = Site(),
-                  files_per_batch: int = 1000) -> StreamingQuery:
-    """Every new file of ``directory`` is checked and merged once; stops when all are read."""
-    stream = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(directory)
+def merge_staged(spark: SparkSession, works_root: str, now: datetime) -> int:
+    """Merge all staged batches the catalog does not hold yet, in order of stream and batch; the current version."""
+    marks = marks_of(spark, works_root)
+    rows = beyond(read_if_exists(spark, f"{works_root}-staged", _STAGED), marks)
+    found = last_batches(rows)
+    if found:
+        batch = materialize(fold_batch(rows.withColumn("_order", F.struct("stream", "batch")), "_order"), "batch")
+        write_works(upsert_works(scan_works(spark, works_root), batch, now), works_root, token_of(marks | found))
+    return current_version(spark, works_root)
 
-    def merge(df: DataFrame, batch_id: int) -> None:
-        ingest_batch(df, works_root, f"{works_root}-rejects", f"{batch_id}", clock(), site)
 
+def ingest_stream(spark: SparkSession, directory: str, works_root: str, checkpoint: str, site: Site = Site(),
+                  files_per_batch: int = 1000) -> StreamingQuery:
+    """Every new file of ``directory`` is checked and staged once; stops when all are read."""
+    stream = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(directory)
     return (
-        with_place(stream).writeStream.foreachBatch(merge)
+        with_place(stream).writeStream
+        .foreachBatch(lambda df, batch_id: stage_batch(df, works_root, stream_id(spark, checkpoint), batch_id, site))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def ingest_run(spark: SparkSession, directory: str, works_root: str, checkpoint: str, clock: Callable[[], datetime],
+               site: Site = Site(), files_per_batch: int = 1000) -> int:
+    """Stage what has arrived, then merge once. Any number of folders, each with its checkpoint, may feed a catalog."""
+    ingest_stream(spark, directory, works_root, checkpoint, site, files_per_batch).awaitTermination()
+    return merge_staged(spark, works_root, clock())

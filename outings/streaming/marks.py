@@ -1,0 +1,35 @@
+"""Which batches of which streams a table holds already."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from outings.sources.catalog import snapshot_log
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark keeps with a checkpoint: batch numbers are only unique beside it."""
+    return spark.read.json(f"{checkpoint.rstrip('/')}/metadata").first().id
+
+
+def marks_of(spark: SparkSession, root: str) -> dict[str, int]:
+    """The last batch of each stream that the current version of a snapshot holds."""
+    token = snapshot_log(spark, root).where(F.col("token").startswith("{")).agg(F.max_by("token", F.struct("version", "folder"))).first()[0]
+    return json.loads(token) if token else {}
+
+
+def token_of(marks: dict[str, int]) -> str:
+    return json.dumps(marks, sort_keys=True)
+
+
+def beyond(rows: DataFrame, marks: dict[str, int]) -> DataFrame:
+    """Rows (with stream and batch) of batches after the marks."""
+    known = rows.sparkSession.createDataFrame(list(marks.items()), "stream string, _mark long")  # a row per stream
+    return rows.join(F.broadcast(known), "stream", "left").where("_mark IS NULL OR batch > _mark").drop("_mark")
+
+
+def last_batches(rows: DataFrame) -> dict[str, int]:
+    return {r.stream: r.batch for r in rows.groupBy("stream").agg(F.max("batch").alias("batch")).collect()}

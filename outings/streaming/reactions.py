@@ -1,8 +1,9 @@
 """Reaction events into the current state.
 
-Every micro-batch is folded and written as one small delta under its batch id, so the
-cost of a batch follows the batch and not the state. Reading folds the base and the
-deltas after it; compaction moves the deltas into a new base. Because the fold goes by
+Every micro-batch is folded and written as one small delta under its stream's id and its
+batch id, so the cost of a batch follows the batch and not the state, and any number of
+streams may feed one state. Reading folds the base and the deltas after it; compaction moves
+the deltas into a new base, which is marked with the last batch of each stream in it. Because the fold goes by
 event time and is associative, late events, replays and any batch split give one state.
 """
 
@@ -15,19 +16,20 @@ from pyspark.sql.streaming import StreamingQuery
 
 from outings.operators.reactions import fold_reactions, fold_states
 from outings.schemas import REACTION_EVENTS
-from outings.sources.catalog import publish_snapshot, read_if_exists, read_snapshot, snapshot_log
+from outings.sources.catalog import publish_snapshot, read_if_exists, read_snapshot
+from outings.streaming.marks import beyond, last_batches, marks_of, stream_id, token_of
 
 STATE = T.StructType([
     *[REACTION_EVENTS[c] for c in ("user_id", "work_id", "status")],
     T.StructField("created_at", T.TimestampNTZType()), T.StructField("updated_at", T.TimestampNTZType()),
     T.StructField("last_seq", T.LongType()),
 ])
-_DELTA = T.StructType([*STATE.fields, T.StructField("batch", T.LongType())])
+_DELTA = T.StructType([*STATE.fields, T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())])
 
 
-def write_delta(events: DataFrame, root: str, batch_id: int) -> None:
+def write_delta(events: DataFrame, root: str, stream: str, batch_id: int) -> None:
     """Idempotent: a repeated batch replaces its own folder."""
-    fold_reactions(events).write.mode("overwrite").parquet(f"{root}/delta/batch={batch_id}")
+    fold_reactions(events).write.mode("overwrite").parquet(f"{root}/delta/stream={stream}/batch={batch_id}")
 
 
 def reaction_stream(spark: SparkSession, directory: str, root: str, checkpoint: str,
@@ -36,32 +38,27 @@ def reaction_stream(spark: SparkSession, directory: str, root: str, checkpoint:
         spark.readStream.schema(REACTION_EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(directory)
     )
     return (
-        events.writeStream.foreachBatch(lambda df, batch_id: write_delta(df, root, batch_id))
+        events.writeStream.foreachBatch(lambda df, batch_id: write_delta(df, root, stream_id(spark, checkpoint), batch_id))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def _covered(spark: SparkSession, root: str) -> int:
-    """Last batch id the base holds, -1 before the first compaction."""
-    return snapshot_log(spark, f"{root}/base").agg(
-        F.coalesce(F.max(F.col("token").cast("bigint")), F.lit(-1))).first()[0]
-
-
 def _deltas(spark: SparkSession, root: str) -> DataFrame:
-    return read_if_exists(spark, f"{root}/delta", _DELTA).where(F.col("batch") > _covered(spark, root))
+    return beyond(read_if_exists(spark, f"{root}/delta", _DELTA), marks_of(spark, f"{root}/base"))
 
 
 def current_reactions(spark: SparkSession, root: str) -> DataFrame:
     base = read_snapshot(spark, f"{root}/base", STATE)
-    return fold_states(base.unionByName(_deltas(spark, root).drop("batch")))
+    return fold_states(base.unionByName(_deltas(spark, root).drop("stream", "batch")))
 
 
-def compact_reactions(spark: SparkSession, root: str) -> int:
-    """Fold base and deltas into a new base; returns the last batch id it holds."""
-    last = _deltas(spark, root).agg(F.max("batch")).first()[0]
-    if last is None:
-        return _covered(spark, root)
+def compact_reactions(spark: SparkSession, root: str) -> dict[str, int]:
+    """Fold base and deltas into a new base; returns the last batch of each stream it holds."""
+    marks, deltas = marks_of(spark, f"{root}/base"), _deltas(spark, root)
+    found = last_batches(deltas)
+    if not found:
+        return marks
     base = read_snapshot(spark, f"{root}/base", STATE)
-    upto = _deltas(spark, root).where(F.col("batch") <= last).drop("batch")
-    publish_snapshot(fold_states(base.unionByName(upto)), f"{root}/base", token=str(last))
-    return last
+    upto = deltas.where(F.col("batch") <= F.create_map(*[F.lit(x) for pair in found.items() for x in pair])[F.col("stream")])
+    publish_snapshot(fold_states(base.unionByName(upto.drop("stream", "batch"))), f"{root}/base", token=token_of(marks | found))
+    return marks | found

@@ -156,10 +156,9 @@ def test_discover(spark):
             di.discover(rows, seen, "me", NOW, **wrong)
 
 
-@pytest.mark.parametrize("list_size, range_rows", [(5000, 1000), (7, 4), (5, 50)])
-def test_decks_match_brute_force(spark, monkeypatch, list_size, range_rows):
-    """Some users reacted to almost everything, so a short list sends them down the exact path."""
-    monkeypatch.setattr(di, "RANGE_ROWS", range_rows)
+@pytest.mark.parametrize("head", [5000, 7, 0])
+def test_decks_match_brute_force(spark, head):
+    """Some users reacted to almost everything, so their decks reach past a short head."""
     rnd = random.Random(3)
     n = 60
     rows = [work(i, created_at=datetime(2026, 1, 1 + i % 5), end_date=date(2026, 3, 1 + i % 28)) for i in range(n)]
@@ -169,7 +168,7 @@ def test_decks_match_brute_force(spark, monkeypatch, list_size, range_rows):
     seen = {u: {f"w{i}" for i in range(n) if rnd.random() < p} for u, p in share.items()}
     users = spark.createDataFrame([(u,) for u in share], "user_id string")
     reactions = spark.createDataFrame([(u, w) for u, ws in seen.items() for w in ws], "user_id string, work_id string")
-    got = di.discover_all_users(works(spark, *rows), reactions, users, NOW, per=5, list_size=list_size)
+    got = di.discover_all_users(works(spark, *rows), reactions, users, NOW, per=5, head=head)
     want = {(u, i + 1, r[0]) for u in share for i, r in enumerate([r for r in current if r[0] not in seen[u]][:5])}
     assert {tuple(r) for r in got.select("user_id", "rank", "work_id").collect()} == want
     totals = di.discover_totals_all_users(works(spark, *rows), reactions, users, NOW)

@@ -78,9 +78,9 @@ def test_duration_guard(values):
 
 
 def test_addresses(values):
-    texts = ["au 14 bis boulevard de Strasbourg 75010 Paris, métro", "3 rue de l’Échiquier 75010 Paris", "Paris 75010"]
+    texts = ["au 6 bis chemin des Dunes 59240 Dunkerque, gare", "21 place de l’Étang 33000 Bordeaux", "Paris 75010"]
     assert values(texts, fields.parse_address) == [
-        "14 bis boulevard de Strasbourg 75010 Paris", "3 rue de l’Échiquier 75010 Paris", None]
+        "6 bis chemin des Dunes 59240 Dunkerque", "21 place de l’Étang 33000 Bordeaux", None]
 
 
 def test_rubrics(values):

@@ -5,7 +5,7 @@ from datetime import datetime
 
 from outings.operators.reactions import fold_reactions
 from outings.sources import catalog
-from outings.streaming.ingest import ingest_batch, ingest_stream
+from outings.streaming.ingest import ingest_run, merge_staged, stage_batch
 from outings.streaming.reactions import compact_reactions, current_reactions, reaction_stream, write_delta
 from tests.test_catalog import events
 
@@ -36,7 +36,7 @@ def test_reactions(spark, tmp_path):
 def test_repeated_delta_replaces_itself(spark, tmp_path):
     log = events(spark, 200)
     for _ in range(2):
-        write_delta(log, str(tmp_path), 0)
+        write_delta(log, str(tmp_path), "s", 0)
     assert rows(current_reactions(spark, str(tmp_path))) == rows(fold_reactions(log))
 
 
@@ -48,7 +48,7 @@ def test_ingest(spark, tmp_path):
         return json.dumps({"url": f"{BASE}/theatre/t-1/p-{i}.html", "title": f"T{i}"} | fields)
 
     def run():
-        ingest_stream(spark, str(source), root, checkpoint, lambda: NOW).awaitTermination()
+        ingest_run(spark, str(source), root, checkpoint, lambda: NOW, files_per_batch=1)
         return {r.title: r.venue for r in catalog.scan_works(spark, root).collect()}
 
     (source / "a.jsonl").write_text(line(1, venue="V") + "\n\n" + line(2))
@@ -65,5 +65,30 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     root = str(tmp_path / "works")
     lines = spark.createDataFrame([("f", 0, json.dumps({"url": f"{BASE}/x-1", "title": "T"}))], "file string, block long, line string")
     for _ in range(2):
-        ingest_batch(lines, root, str(tmp_path / "rejects"), "7", NOW)
+        stage_batch(lines, root, "s", 7)
+        assert merge_staged(spark, root, NOW) == 1
     assert catalog.current_version(spark, root) == 1 and catalog.scan_works(spark, root).count() == 1
+
+
+def test_two_folders_feed_one_catalog(spark, tmp_path):
+    """Batch numbers of both start at zero; nothing of either is lost, rejects are kept apart."""
+    root = str(tmp_path / "works")
+    for name, i in (("a", 1), ("b", 2)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.jsonl").write_text(json.dumps({"url": f"{BASE}/theatre/t-1/p-{i}.html", "title": name}))
+        (tmp_path / name / "bad.jsonl").write_text("{oops " + name)
+        ingest_run(spark, str(tmp_path / name), root, str(tmp_path / f"check-{name}"), lambda: NOW)
+    assert {r.title for r in catalog.scan_works(spark, root).collect()} == {"a", "b"}
+    assert spark.read.parquet(f"{root}-rejects").count() == 2
+
+
+def test_two_sources_feed_one_state(spark, tmp_path):
+    """Also when a compaction lies between them."""
+    root, log = str(tmp_path / "state"), events(spark, 400)
+    for part in range(3):
+        source = str(tmp_path / f"in{part}")
+        log.where(f"seq % 3 = {part}").repartition(2).write.parquet(source)
+        reaction_stream(spark, source, root, str(tmp_path / f"check{part}"), files_per_batch=1).awaitTermination()
+        if part == 1:
+            compact_reactions(spark, root)
+    assert rows(current_reactions(spark, root)) == rows(fold_reactions(log))
