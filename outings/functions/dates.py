@@ -62,7 +62,7 @@ def _pick(c: Column, pattern: str, *indexes: int) -> list[Column]:
 
 def _days_in(text: Column) -> Column:
     words = F.transform(groups(text, WORD_DAY, 0), lambda m: _word_iso(*_pick(m, WORD_DAY, 1, 2, 3)))
-    numbers = F.transform(groups(text, _NUMERIC, 0), lambda m: _numeric_iso(*_pick(m, _NUMERIC, 1, 2, 3)))
+    numbers = F.transform(groups(text, fv.NUMERIC_DATE, 0), lambda m: _numeric_iso(*_pick(m, fv.NUMERIC_DATE, 1, 2, 3)))
     return F.concat(words, numbers)
 
 
@@ -115,8 +115,8 @@ def parse_date_range(text: Column) -> Column:
 
 def parse_single_day(text: Column) -> Column:
     """A text that is exactly one day, in words, in numbers, or starting as ISO."""
-    whole_word = f"{_FLAGS}^{_WORD}$"
-    whole_number = f"^{_NUMERIC}$"
+    whole_word = f"^(?:{WORD_DAY})$"
+    whole_number = f"^{fv.NUMERIC_DATE}$"
     return let(
         clean(text),
         lambda t: F.when(t.rlike(whole_word), _word_iso(*_pick(t, whole_word, 1, 2, 3)))
