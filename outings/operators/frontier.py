@@ -86,7 +86,7 @@ def pagination_cutoff(page_counts: DataFrame) -> DataFrame:
         .groupBy("section").agg(F.min("page").alias("stop"))
     )
     return (
-        page_counts.join(stop, "section", "left")
+        page_counts.join(F.broadcast(stop), "section", "left")  # a row per section
         .where(F.col("stop").isNull() | (F.col("page") <= F.col("stop"))).drop("stop")
     )
 

@@ -83,3 +83,30 @@ def test_stand_in_tables_have_the_model_schema(spark):
     d = "/root/testdata/sf0.001"
     assert st.works(spark, d).columns == WORKS.names
     assert st.cache(spark, d).columns == SHOWS.names == st.dirty_shows(spark, d).columns
+
+
+def test_scratch_space_is_shared_or_refused():
+    """Off one machine an unset folder is an error, never a local one."""
+    import types
+
+    import pytest
+
+    from outings.session import scratch_dir
+
+    def asked(**conf):
+        conf = {k.replace("_", "."): v for k, v in conf.items()}
+        return scratch_dir(types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda key, default=None: conf.get(key, default))), "x")
+
+    for master in ("spark://host:7077", "yarn", "k8s://https://h", "local-cluster[2,1,1024]", ""):
+        with pytest.raises(ValueError):
+            asked(spark_master=master)
+    assert asked(spark_master="yarn", spark_checkpoint_dir="hdfs://a/b/").startswith("hdfs://a/b/x-")
+    assert asked(spark_master="local[8]").startswith("/") and asked(spark_master="local")
+
+
+def test_measured_sizes(spark):
+    from outings.operators.sizes import broadcast_limit, fits_broadcast, measured_bytes
+
+    df = spark.createDataFrame([("abc", 1), (None, 2)], "t string, n int")
+    assert measured_bytes(df) == 2 * (64 + 16) + 3 and fits_broadcast(df)
+    assert broadcast_limit(spark) == 10 << 20
