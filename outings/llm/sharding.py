@@ -52,12 +52,13 @@ def rebalance(now: DataFrame, sizes: DataFrame, shards: int, only_new: bool = Fa
     share = F.ceil(F.sum("bytes").over(every) / F.lit(shards))
     slots = slots.withColumn("kept", (F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)) <= share) & (F.col("shard") < shards))
     slots = slots.withColumn("old", F.max("shard").over(every))
-    loads = slots.where("kept").groupBy("shard").agg(F.sum("bytes").alias("held"))
+    loads = slots.where("kept").groupBy("shard").agg(F.sum("bytes").alias("held"))  # a row per shard
+    held = loads.agg(F.map_from_entries(F.collect_list(F.struct("shard", "held")))).scalar()
     start = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.coalesce(F.element_at("held", s), F.lit(0).cast("long")))
     one = slots.agg(
         F.max("version").alias("version"), F.max("old").alias("old"),
         F.expr("array_sort(collect_list(if(kept, null, struct(-bytes as bytes, vslot))))").alias("moving")
-    ).crossJoin(loads.agg(F.map_from_entries(F.collect_list(F.struct("shard", "held"))).alias("held")))  # one row each
+    ).withColumn("held", held)
 
     def step(state, slot):
         free = F.transform(state["loads"], lambda x, i: F.when(F.lit(not only_new) | (i > F.col("old")), x))
