@@ -626,7 +626,7 @@ def _(spark, d):
     return ex.extract_shows(pages.unionByName(old))
 
 
-@query("given_titles", """
+@query("given_titles", r"""
 SELECT page_id, nullif(trim(regexp_replace(replace(regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title FROM pages""")
 def _(spark, d):
     """The given pages, none of which this package wrote."""
