@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from outings.session import materialize
 
-__all__ = ["append", "arrow", "components", "free_name", "hash_words", "materialize", "pack", "table", "texts", "unpack"]
+__all__ = ["append", "arrow", "components", "free_name", "hash_words", "materialize", "pack", "parts", "table", "texts", "unpack"]
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,13 @@ def texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist() if pa.types.is_string(column.type) else column.cast(pa.large_binary()).to_pylist()
 
 
+def parts(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of few rows, so that what Python makes of a slice stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
 def append(df: DataFrame, name: str, kind: str, rows: Callable[[pa.RecordBatch], list[dict]]) -> DataFrame:
     """``df`` with one struct column more, which ``rows`` computes for a batch of rows."""
     struct = T.StructType.fromDDL(kind)
@@ -47,9 +54,9 @@ def append(df: DataFrame, name: str, kind: str, rows: Callable[[pa.RecordBatch],
     kind_ = arrow(f"x struct<{kind}>").field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            added = pa.array(rows(batch), kind_)
-            yield pa.RecordBatch.from_arrays([*batch.columns, added], names=schema.names)
+        for part in parts(batches):
+            added = pa.array(rows(part), kind_)
+            yield pa.RecordBatch.from_arrays([*part.columns, added], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -75,7 +82,7 @@ def unpack(data: bytes) -> np.ndarray:
 class _Hashes(dict):
     """64-bit hashes of words, kept while there are few enough of them."""
 
-    most = 400_000
+    most = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outings.llm.common import components, free_name, materialize, texts
+from outings.llm.common import components, free_name, materialize, parts, texts
 
 #: A-Z become a-z, nothing else changes.
 LOWER = bytes((b | 0x20) if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -68,7 +68,7 @@ def with_fingerprint(docs: DataFrame, name: str, text: str, width: int) -> DataF
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             bits = np.array([fingerprint(d, width) for d in texts(batch.column(at))], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits.view(np.int64))], names=schema.names)
 

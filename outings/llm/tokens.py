@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 
@@ -64,7 +65,7 @@ class Encoder:
         split = [self.split.findall(t.lower() if self.lower else t) for t in lot]
         pieces = [p for s in split for p in s]
         known, held = self.place, (len(self.place), len(self.ids))
-        at = np.fromiter((known.get(p, -1) for p in pieces), np.int64, len(pieces))
+        at = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = list(dict.fromkeys(pieces[i] for i in np.flatnonzero(at < 0)))
         if new:
             self._learn(new)
