@@ -4,8 +4,10 @@ A tokenizer and a tree builder turn a page into properly nested elements: tags t
 or opened (paragraphs before blocks, list items, table rows and cells), stray end tags are dropped. The
 renderer then writes all text a reader would see: one line per block, a blank line around paragraphs,
 headings, lists and tables, list items with bullets or numbers and indents, table cells in aligned columns,
-preformatted text as it is. Hidden: head, scripts, styles, templates, comments, form values, ``hidden``,
-``display:none``, ``visibility:hidden``, closed ``details`` (but its summary) and closed ``dialog``.
+preformatted text as it is. A head ends at ``</head>`` or at the first text or element that can't be in one.
+Formulas give the text of their signs, drawings that of their labels (``text`` and ``foreignObject``). Hidden:
+head, scripts, styles, templates, comments, form values, ``hidden``, ``display:none``, ``visibility:hidden``,
+closed ``details`` (but its summary), closed ``dialog``, notes on formulas, titles and definitions of drawings.
 
 One pass over the page; nesting is followed for ``DEEPEST`` elements, so neither deep nesting nor unclosed
 tags cost more than their length. Columns are
@@ -39,7 +41,7 @@ UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)",
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template iframe noembed noframes textarea title xmp".split())
-NEVER = frozenset("head script style template iframe noembed noframes object audio video canvas svg math datalist select textarea title".split())
+NEVER = frozenset("head script style template iframe noembed noframes object audio video canvas datalist select textarea title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                   "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul".split())
@@ -51,7 +53,15 @@ CLOSES = {
     "body": ("head", ""), "option": ("option", "select"), "optgroup": ("option optgroup", "select"),
 }
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
-SCOPE = frozenset("table td th caption button".split())  # a paragraph isn't closed across these
+HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())  # don't end a head
+NOSCRIPT = frozenset("html basefont bgsound link meta noframes style".split())  # don't end a noscript in a head
+#: html tags that end a formula or drawing they are found in, as if it had been closed
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p "
+                   "pre ruby s small span strong strike sub sup table tt u ul var".split())
+POINTS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())  # html again inside formulas and drawings
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker metadata desc filter lineargradient radialgradient annotation annotation-xml mphantom".split())
+APART = frozenset("text foreignobject mtd".split())  # parted from what is beside them
+SCOPE = POINTS - {"title"} | frozenset("table td th caption button".split())  # a paragraph isn't closed across these
 WIDEST = 40
 DEEPEST = 256  # open elements; what is nested deeper is laid out side by side
 
@@ -71,15 +81,19 @@ def unseen(tag: str, attrs: dict[str, str]) -> bool:
 def nested(page: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
     """Properly nested events: ("open", tag, attributes), ("text", text, None), ("close", tag, None)."""
     stack: list[str] = []
+    foreign: list[bool] = []  # of each open element: whether it holds a formula's or drawing's elements
     held: dict[str, int] = {}  # how many of a tag are open
 
     def push(tag: str, attrs: dict[str, str]) -> tuple:
+        inside = bool(foreign) and foreign[-1]
         stack.append(tag)
+        foreign.append(tag in ("svg", "math") or inside and tag not in POINTS)
         held[tag] = held.get(tag, 0) + 1
         return "open", tag, attrs
 
     def pop() -> tuple:
         tag = stack.pop()
+        foreign.pop()
         held[tag] -= 1
         return "close", tag, None
 
@@ -98,6 +112,15 @@ def nested(page: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
         while last is not None and len(stack) > last:
             yield pop()
 
+    def leave(tag: str | None) -> Iterator[tuple]:
+        """Close a head that can't hold this tag (None: text) and the formula or drawing that it ends."""
+        while stack and (stack[-1] == "head" and tag not in HEAD
+                         or stack[-1] == "noscript" and stack[-2:-1] == ["head"] and tag not in NOSCRIPT):
+            yield pop()
+        while tag in BREAKS and stack and foreign[-1]:
+            yield pop()
+
+    begun = False  # whether the body is: there is no head any more
     at, size, patience, last = 0, len(page), PATIENCE, page.rfind(">")
     while at < size:
         mark = MARK.search(page, at)
@@ -115,10 +138,16 @@ def nested(page: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
             tag = found[1]
         stop = start if found else min(size, start + 1) if start < last else size
         if stop > at:
-            yield "text", html.unescape(page[at:stop]), None
+            text = html.unescape(page[at:stop])
+            if text.strip(" \t\n\r\f"):
+                yield from leave(None)
+                begun = True
+            yield "text", text, None
         at = found.end() if found else stop
         if ending:
             tag = ending.lower()
+            if tag in ("p", "br") and stack and foreign[-1]:
+                yield from leave(tag)
             if tag == "p" and not held.get("p"):
                 yield "open", "p", {}
                 yield "close", "p", None
@@ -136,6 +165,10 @@ def nested(page: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
         elif tag:
             tag = tag.lower()
             attrs = attributes(found[2]) if found[2].strip(" \t\n\r/") else {}
+            yield from leave(tag)
+            if tag == "head" and begun:
+                continue
+            begun = begun or tag not in HEAD
             if tag in BLOCK and held.get("p"):
                 yield from until(frozenset({"p"}), SCOPE)
             if tag in CLOSES:
@@ -149,12 +182,13 @@ def nested(page: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
                 continue
             if len(stack) >= DEEPEST:
                 yield pop()
+            inside = bool(foreign) and foreign[-1]
             yield push(tag, attrs)
-            if tag in RAW:
+            if found[2].endswith("/") and (inside or tag in ("svg", "math")):
+                yield pop()
+            elif tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
                 at = end.start() if end else size
-            elif found[2].endswith("/") and tag in ("svg", "math"):
-                yield pop()
     while stack:
         yield pop()
 
@@ -216,9 +250,10 @@ def render(page: str) -> str:
     indent, dark, pre = "", 0, 0
     darkened: list[int] = []  # depth marks of hidden elements
     depth, details = 0, []  # of each open closed-details element: its depth
+    drawings: list[list[int]] = []  # of each open formula or drawing: its depth, how many labels are open in it (one more in a formula)
     for kind, tag, attrs in nested(page):
         if kind == "text":
-            if not dark and not (details and not details[-1][1]):
+            if not dark and not (details and not details[-1][1]) and not (drawings and not drawings[-1][1]):
                 if pre:
                     *done, last = tag.split("\n")
                     for one in done:
@@ -240,7 +275,7 @@ def render(page: str) -> str:
                     flow.text(attrs["alt"])
                 continue
             depth += 1
-            if dark or unseen(tag, attrs):
+            if dark or unseen(tag, attrs) or drawings and tag in UNDRAWN:
                 if not dark:
                     darkened.append(depth)
                 dark += 1
@@ -250,6 +285,11 @@ def render(page: str) -> str:
                 details.append([depth, False])
             elif tag == "summary" and details and depth == details[-1][0] + 1:
                 details[-1][1] = True
+            if tag in ("svg", "math"):
+                drawings.append([depth, int(tag == "math")])
+            elif drawings and tag in APART:
+                flow.text(" ")
+                drawings[-1][1] += tag != "mtd"
             if tag in BLOCK:
                 flow.end(indent, spaced=tag in SPACED and not (tag in ("ul", "ol") and lists))
             if tag in ("ul", "ol", "menu", "dir"):
@@ -301,6 +341,11 @@ def render(page: str) -> str:
             indent = indents.pop() if indents else ""
         elif tag == "pre":
             pre -= 1
+        if drawings and tag in APART:
+            flow.text(" ")
+            drawings[-1][1] -= tag != "mtd"
+        elif drawings and depth == drawings[-1][0]:
+            drawings.pop()
         if details and tag == "summary" and depth == details[-1][0] + 1:
             details[-1][1] = False
         elif details and depth == details[-1][0]:

@@ -73,3 +73,17 @@ def test_every_visible_word_once(spark):
         seen = re.findall(r"[wv]\d+|\ba\b", re.sub(r"<script>.*?</script>|<div hidden>.*?</div>", "", row.html).replace("<", " <"))
         assert re.findall(r"\w+", text) == seen and row.layout_.n_chars == len(text)
     assert extract_layout(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<html><head><title>no</title><p>text<div>more</div>", "text\n\nmore"),
+    ("<head><meta charset=utf-8><style>no</style>\n text <b>too</b></head>", "text too"),
+    ("<head><noscript>on</noscript><title>no</title><p>z", "on\n\nz"),
+    ("<head><title>no</title></head><p>a<head>b</head>c", "abc"),
+    ("a <math><mi>x</mi><mo>=</mo><mn>12</mn><annotation>no</annotation></math> b", "a x=12 b"),
+    ("a<svg><title>no</title><defs/><style/><g>no<text>La<tspan>bel</tspan></text><text>two</text></g><path d=''/></svg>b", "a Label two b"),
+    ("<svg><defs><text>no</text></defs></svg><svg><path d=''><p>out", "out"),
+    ("<p>x<svg><foreignObject><p>in</p>t</foreignObject></svg>y", "x\n\nin\n\nt y"),
+])
+def test_heads_without_an_end_formulas_and_drawings(page, text):
+    assert render(page) == text
