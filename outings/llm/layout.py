@@ -9,9 +9,13 @@ Formulas give the text of their signs, drawings that of their labels (``text`` a
 head, scripts, styles, templates, comments, form values, ``hidden``, ``display:none``, ``visibility:hidden``,
 closed ``details`` (but its summary), closed ``dialog``, notes on formulas, titles and definitions of drawings.
 
-One pass over the page; nesting is followed for ``DEEPEST`` elements, so neither deep nesting nor unclosed
-tags cost more than their length. Columns are
-padded to at most ``WIDEST`` characters, so a long cell doesn't widen the others. Pages are read where they lie.
+One pass over the page. All open elements are held, however deep; each knows where the nearest of a tag is, so
+neither deep nesting nor unclosed tags cost more than their length. Only the look has bounds, no text is left
+out for them (output would grow as the square of the page): indents grow to ``INDENT`` characters, tables inside
+``NESTED`` others are written as rows of words, and cells that spans push more than ``EDGE`` characters to the right
+of what their row's own cells could fill follow the cell before them. Cells are placed by colspan and rowspan. A cell over
+``WIDEST`` characters doesn't widen its column: what follows it in the row starts on the next line, in its own
+column. Pages are read where they lie.
 
 Cases: null html gives null; html without visible text gives the empty text. Malformed markup is read as far
 as it makes sense, a ``<`` that starts no tag is text. Other columns are passed on; the result is one more
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +42,7 @@ UNQUOTED = re.compile(r"<([a-zA-Z][^\s/>]*)([^>]*)>")
 PATIENCE = 8  # tags whose quotes don't close before the page is read without regard to quotes
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 SPACES = re.compile(r"[ \t\n\r\f]+")
+SPAN = re.compile(r"[ \t\n\r\f]*\+?([0-9]+)")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,7 +69,12 @@ UNDRAWN = frozenset("defs symbol clippath mask pattern marker metadata desc filt
 APART = frozenset("text foreignobject mtd".split())  # parted from what is beside them
 SCOPE = POINTS - {"title"} | frozenset("table td th caption button".split())  # a paragraph isn't closed across these
 WIDEST = 40
-DEEPEST = 256  # open elements; what is nested deeper is laid out side by side
+EDGE = 1000
+INDENT = 512
+NESTED = 100
+
+
+Cell = tuple[int, int, list[str]]  # colspan, rowspan, lines
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -82,34 +93,30 @@ def nested(page: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
     """Properly nested events: ("open", tag, attributes), ("text", text, None), ("close", tag, None)."""
     stack: list[str] = []
     foreign: list[bool] = []  # of each open element: whether it holds a formula's or drawing's elements
-    held: dict[str, int] = {}  # how many of a tag are open
+    held: dict[str, list[int]] = {}  # where the open elements of a tag are in the stack
 
     def push(tag: str, attrs: dict[str, str]) -> tuple:
         inside = bool(foreign) and foreign[-1]
         stack.append(tag)
         foreign.append(tag in ("svg", "math") or inside and tag not in POINTS)
-        held[tag] = held.get(tag, 0) + 1
+        held.setdefault(tag, []).append(len(stack) - 1)
         return "open", tag, attrs
 
     def pop() -> tuple:
         tag = stack.pop()
         foreign.pop()
-        held[tag] -= 1
+        held[tag].pop()
         return "close", tag, None
 
+    def nearest(kinds: frozenset) -> int:
+        return max((places[-1] for k in kinds if (places := held.get(k))), default=-1)
+
     def until(kinds: frozenset, fence: frozenset) -> Iterator[tuple]:
-        """Close everything up to the outermost of ``kinds`` inside the nearest fence."""
-        if not any(held.get(k) for k in kinds):
-            return
-        last = None
-        for depth in range(len(stack) - 1, -1, -1):
-            if stack[depth] in fence:
-                break
-            if stack[depth] in kinds:
-                last = depth
-                if stack[depth] == "li" or len(kinds) == 1:
-                    break
-        while last is not None and len(stack) > last:
+        """Close everything up to the outermost of ``kinds`` inside the nearest fence; of one kind, the nearest."""
+        floor = nearest(fence)
+        found = [places[-1 if len(kinds) == 1 else bisect_right(places, floor)]
+                 for k in kinds if (places := held.get(k)) and places[-1] > floor]
+        while found and len(stack) > min(found):
             yield pop()
 
     def leave(tag: str | None) -> Iterator[tuple]:
@@ -154,14 +161,10 @@ def nested(page: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
             elif tag == "br":
                 yield "open", "br", {}
             elif held.get(tag):
-                fence = frozenset() if tag in ("table", "body", "html") else frozenset({"table"}) - {tag}
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth] == tag:
-                        while len(stack) > depth:
-                            yield pop()
-                        break
-                    if stack[depth] in fence:
-                        break
+                place = held[tag][-1]
+                if tag in ("table", "body", "html") or place > nearest(frozenset({"table"})):
+                    while len(stack) > place:
+                        yield pop()
         elif tag:
             tag = tag.lower()
             attrs = attributes(found[2]) if found[2].strip(" \t\n\r/") else {}
@@ -174,14 +177,10 @@ def nested(page: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
             if tag in CLOSES:
                 yield from until(*CLOSES[tag])
             if tag in ("td", "th") and held.get("table") and not (stack and stack[-1] == "tr"):
-                if len(stack) >= DEEPEST:
-                    yield pop()
                 yield push("tr", {})
             if tag in VOID:
                 yield "open", tag, attrs
                 continue
-            if len(stack) >= DEEPEST:
-                yield pop()
             inside = bool(foreign) and foreign[-1]
             yield push(tag, attrs)
             if found[2].endswith("/") and (inside or tag in ("svg", "math")):
@@ -205,6 +204,15 @@ class Flow:
     def text(self, text: str) -> None:
         self.parts.append(text)
 
+    def add(self, lines: list[str], indent: str) -> None:
+        """Lines that are laid out already, with a blank one around them."""
+        self.blank = True
+        for line in lines[:1]:
+            self.text(line)
+            self.end(indent, keep=True)
+        self.lines.extend([indent + line for line in lines[1:]] if indent else lines[1:])
+        self.blank = True
+
     def end(self, indent: str, spaced: bool = False, keep: bool = False) -> None:
         """The line so far, if it holds anything; ``spaced``: a blank line before what follows."""
         line = "".join(self.parts)
@@ -224,27 +232,74 @@ class Flow:
         self.blank = self.blank or spaced
 
 
-def columns(rows: list[list[list[str]]]) -> list[str]:
-    """Rows of cells (lists of lines) as lines, cells of a column under each other."""
-    wide: list[int] = []
+def span(text: str | None, most: int) -> int:
+    """A colspan or rowspan as HTML reads it."""
+    found = SPAN.match(text or "")
+    return min(int(found[1][:6]), most) if found else 1
+
+
+def placed(groups: list[list[list[Cell]]]) -> Iterator[list[tuple[int, int, list[str]]]]:
+    """The first column, the end and the lines of each row's cells; a rowspan ends with its row group."""
+    for rows in groups:
+        taken: list[tuple[int, int, int]] = []  # by first column: first, end, and the row of the group from which they are free
+        for number, row in enumerate(rows):
+            at, passed, still, out = 0, 0, [], []
+            for wide, high, lines in row:
+                while passed < len(taken) and taken[passed][0] <= at:
+                    if taken[passed][2] > number:
+                        at = max(at, taken[passed][1])
+                        still.append(taken[passed])
+                    passed += 1
+                out.append((at, at + wide, lines))
+                if high != 1:
+                    free = min(number + high, len(rows)) if high else len(rows)
+                    if still and still[-1][1:] == (at, free):
+                        still[-1] = still[-1][0], at + wide, free
+                    else:
+                        still.append((at, at + wide, free))
+                at += wide
+            taken[:passed] = still
+            yield out
+
+
+def columns(groups: list[list[list[Cell]]]) -> list[str]:
+    """Row groups of rows of cells as lines, cells of a column under each other."""
+    rows = list(placed(groups))
+    if all(len(row) < 2 and (not row or not row[0][0]) for row in rows):
+        return [line for row in rows for cell in row for line in cell[2] if line]
+    starts = sorted({first for row in rows for first, _, _ in row})  # columns in which no cell starts have no width
+    ends: list[dict[int, int]] = [{} for _ in starts]  # of cells that end before the next column: width by first column
+    rows = [[(bisect_left(starts, first), bisect_left(starts, end), lines) for first, end, lines in row] for row in rows]
     for row in rows:
-        for i, cell in enumerate(row):
-            if i == len(wide):
-                wide.append(0)
-            wide[i] = max([wide[i], *(n for line in cell if (n := len(line)) <= WIDEST)])
+        for first, end, lines in row:
+            widest = max(n for line in ["", *lines] if (n := len(line)) <= WIDEST)
+            ends[end - 1][first] = max(widest, ends[end - 1].get(first, 0))
+    begin = [0]
+    for own in ends:
+        begin.append(max([begin[-1] + 2, *(begin[first] + n + 2 for first, n in own.items())]))
     out = []
     for row in rows:
-        for k in range(max((len(cell) for cell in row), default=0)):
-            line = [(cell[k] if k < len(cell) else "").ljust(wide[i]) for i, cell in enumerate(row)]
-            out.append("  ".join(line).rstrip())
+        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+            line, size = [], 0
+            for i, (first, _, lines) in enumerate(row):
+                if k >= len(lines) or not lines[k]:
+                    continue
+                place = begin[first] if begin[first] <= (i + 1) * (WIDEST + 2) + EDGE else size + 2
+                if line and size + 2 > place:
+                    out.append("".join(line).rstrip())
+                    line, size = [], 0
+                line += " " * (place - size), lines[k]
+                size = place + len(lines[k])
+            out.append("".join(line).rstrip())
     return [line for line in out if line]
 
 
 def render(page: str) -> str:
     """The visible text of a page."""
     flow = Flow()
-    flows: list[tuple[Flow, str]] = []
-    tables: list[list[list[list[str]]]] = []
+    flows: list[tuple[Flow, str, int, int, int]] = []  # around the open cells, and the cells' depths and spans
+    tables: list[list[list[list[Cell]]]] = []  # of each open table: row groups of rows of cells
+    deep = 0  # tables that are open in ``NESTED`` others
     lists: list[list] = []  # of each open list: kind, next number
     indents: list[str] = []
     indent, dark, pre = "", 0, 0
@@ -299,18 +354,28 @@ def render(page: str) -> str:
                 flow.mark = f"{own[1]}. " if own[0] == "ol" else "- "
                 own[1] += 1
                 indents.append(indent)
-                indent += " " * len(flow.mark)
+                indent += " " * len(flow.mark) if len(indent) < INDENT else ""
             elif tag in ("blockquote", "dd"):
                 indents.append(indent)
-                indent += "  "
+                indent += "  " if len(indent) < INDENT else ""
             elif tag == "pre":
                 pre += 1
             elif tag == "table":
-                tables.append([])
-            elif tag == "tr" and tables:
+                if len(tables) == NESTED:
+                    deep += 1
+                else:
+                    tables.append([[]])
+            elif deep:
+                if tag == "tr":
+                    flow.end(indent)
+                elif tag in ("td", "th"):
+                    flow.text(" ")
+            elif tag in ("thead", "tbody", "tfoot") and tables:
                 tables[-1].append([])
-            elif tag in ("td", "th") and tables and tables[-1]:
-                flows.append((flow, indent))
+            elif tag == "tr" and tables:
+                tables[-1][-1].append([])
+            elif tag in ("td", "th") and tables and tables[-1][-1]:
+                flows.append((flow, indent, depth, max(1, span(attrs.get("colspan"), 1000)), span(attrs.get("rowspan"), 65534)))
                 flow, indent = Flow(), ""
             continue
         # close
@@ -318,17 +383,21 @@ def render(page: str) -> str:
             dark -= 1
             depth -= 1
             continue
-        if tag in ("td", "th") and tables and tables[-1] and flows:
+        if tag == "tr" and deep:
+            flow.end(indent)
+        elif flows and depth == flows[-1][2]:
             flow.end(indent)
-            tables[-1][-1].append(flow.lines or [""])
-            flow, indent = flows.pop()
+            own = flow.lines or [""]
+            flow, indent, _, wide, high = flows.pop()
+            tables[-1][-1][-1].append((wide, high, own))
+        elif tag in ("thead", "tbody", "tfoot") and tables and not deep:
+            tables[-1].append([])
+        elif tag == "table" and deep:
+            flow.end(indent, spaced=True)
+            deep -= 1
         elif tag == "table" and tables:
             flow.end(indent)
-            flow.blank = True
-            for line in columns(tables.pop()):
-                flow.text(line)
-                flow.end(indent, keep=True)
-            flow.blank = True
+            flow.add(columns(tables.pop()), indent)
         elif tag in BLOCK:
             flow.end(indent, keep=bool(pre) and bool(flow.parts) and any(p for p in flow.parts))
             flow.end(indent, spaced=tag in SPACED and not (tag in ("ul", "ol") and len(lists) > 1))
@@ -352,7 +421,7 @@ def render(page: str) -> str:
             details.pop()
         depth -= 1
     while flows:  # not reached where all elements are closed
-        flow, indent = flows.pop()
+        flow, indent = flows.pop()[:2]
     flow.end("")
     return "\n".join(flow.lines)
 

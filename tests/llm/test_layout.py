@@ -87,3 +87,39 @@ def test_every_visible_word_once(spark):
 ])
 def test_heads_without_an_end_formulas_and_drawings(page, text):
     assert render(page) == text
+
+
+@pytest.mark.parametrize("part", ["<b>", "<font>", "<div>", "<span><i>"])
+def test_elements_stay_what_they_are_at_any_depth(part):
+    deep = part * 400
+    assert render(deep + "<div hidden><p>secret</div>seen") == "seen"
+    assert render(deep + "<table><tr><td>Al<td>1<tr><td>Bob<td>22</table>") == "Al   1\nBob  22"
+    assert render(deep + "<ul><li>a<li>b</ul>") == "- a\n- b"
+
+
+def test_words_of_tables_at_any_depth():
+    for n in (5, 99, 101, 400):
+        page = "<table><tr><td>" * n + "a<td>b<tr><td hidden>no<td>c" + "</table>" * n + "end"
+        assert render(page).split() == ["a", "b", "c", "end"]
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<table><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f</table>", "ab    c\nd  e  f"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+    ("<table><tr><td>a<td rowspan=2 colspan=2>b<td>c<tr><td>d<td>e</table>", "a  b  c\nd     e"),
+    (f"<table><tr><td>a<td>b<tr><td>{'w' * 41}<td>c</table>", f"a  b\n{'w' * 41}\n   c"),
+    (f"<table><tr><td colspan=3>{'w' * 41}<td>z<tr><td>a<td>b<td>c<td>d</table>", f"{'w' * 41}\n         z\na  b  c  d"),
+    ("<table><tr><td colspan=1000 rowspan=65534>a<td>b<tr><td>c</table>", "a  b\n   c"),
+])
+def test_cells_lie_in_their_columns(page, text):
+    assert render(page) == text
+
+
+def test_time_follows_the_length_with_spans():
+    took = []
+    for n in (1000, 10_000):
+        start = time.process_time()
+        assert len(render("<table><tr>" + "<td rowspan=0 colspan=1000>x" * n + "<tr><td>y" * n)) < 1100 * n
+        took.append(time.process_time() - start)
+    assert took[1] < 30 * max(took[0], 0.02)
