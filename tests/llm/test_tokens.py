@@ -7,7 +7,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from outings.llm.huffman import Codes, block, code_lengths, encode_corpus, id_counts, read_block, read_ids
-from outings.llm.packing import pack, pack_documents
+from outings.llm.packing import Index, pack, pack_documents
 from outings.llm.tokens import Encoder, ids_of, tokenize
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
@@ -152,6 +152,33 @@ def test_neighbours_share_their_words(spark):
     assert sum(len(w) == 2 for w in windows.values()) <= 2
 
 
+def test_neighbours_stored_far_apart_meet(spark):
+    """Eight kinds of documents, dealt over 4 partitions and many more shards than one."""
+    r = random.Random(7)
+    kinds = [[f"{a}{b}{k}" for a in "bcdfg" for b in "aeiou"] for k in "xzqjvwkh"]
+    rows = [(i, " ".join(r.choice(kinds[i % 8]) for _ in range(40))) for i in range(1600)]
+    tokens = tokenize(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), WORD, 1)
+    windows = defaultdict(set)
+    for p in pack(tokens, 512, tokens.agg({"n": "sum"}).first()[0] // 16).collect():
+        windows[p.sequence_id].add(p.doc_id % 8)
+    assert sum(len(w) > 1 for w in windows.values()) < len(windows) / 3
+
+
+def test_scores_are_of_all_ids():
+    r = np.random.default_rng(8)
+    docs = [(r.pareto(0.6, r.integers(1, 400)) * 5 % 900).astype(np.uint32) for _ in range(60)]
+    frequencies = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=900)
+    mean = np.mean([len(d) for d in docs])
+    index = Index(docs, frequencies, 60, mean)
+    for row in range(60):
+        want = []
+        for d in docs:
+            tf = np.array([np.sum(d == t) for t in np.unique(docs[row])])
+            df = frequencies[np.unique(docs[row])]
+            want.append(np.sum(np.log1p((60 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))))
+        assert np.allclose(index.scores(row), want)
+
+
 def test_stored_ids(spark):
     docs = spark.createDataFrame([(1, "a b", "x"), (1, None, "y")], "doc_id long, text string, ids string")
     got = sorted((r.n, ids_of(bytes(r.ids), r.width).tolist()) for r in tokenize(docs, WORD, None).collect())
