@@ -18,6 +18,7 @@ from outings.llm.sharding import balanced_map, numbered, place, size_of
 from outings.llm.simhash import near_duplicates
 from outings.llm.substrings import remove_repeats
 from outings.llm.warc import deduplicate, read_archives, resolved
+from outings.llm.whitening import whiten
 from outings.session import scratch_dir
 
 
@@ -98,6 +99,16 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", c.n_links.alias("n_links"), c.component.alias("component_id"), c.kept.alias("kept"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each usable vector's leading whitened components, over the covariance of all of them."""
+    found = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    w = F.col("whitening")
+    return found.select("vec_id", w.n.alias("n"), w.deviation.alias("deviation"), w.explained.alias("shares"),
+                        w.identity_error.alias("identity_error"), F.posexplode(w.whitened).alias("place", "whitened")).select(
+        "vec_id", (F.col("place") + 1).alias("component"), "n", "deviation", "whitened",
+        F.get("shares", F.col("place")).alias("explained"), "identity_error")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
@@ -109,6 +120,7 @@ QUERIES = {
     "op8_huffman": op8_huffman,
     "op9_language": op9_language,
     "op10_embeddings": op10_embeddings,
+    "op13_whitening": op13_whitening,
 }
 ORACLES = {
     "op1_decontamination": sql.DECONTAMINATION,
