@@ -10,6 +10,7 @@ from outings.llm import sql
 from outings.llm.common import table
 from outings.llm.decontaminate import decontaminate
 from outings.llm.embeddings import near_vectors
+from outings.llm.grace import exact_copies
 from outings.llm.huffman import encode_corpus, read_ids
 from outings.llm.langid import identify, train
 from outings.llm.layout import extract_layout
@@ -99,6 +100,13 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", c.n_links.alias("n_links"), c.component.alias("component_id"), c.kept.alias("kept"))
 
 
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class of equal texts, and whether it is the one that stays."""
+    found = exact_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    c = F.col("copies")
+    return found.select("doc_id", c.keep_id.alias("keep_id"), c.group_size.alias("group_size"), c.kept.alias("kept"), c.sha256.alias("text_sha256"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each usable vector's leading whitened components, over the covariance of all of them."""
     found = whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
@@ -120,6 +128,7 @@ QUERIES = {
     "op8_huffman": op8_huffman,
     "op9_language": op9_language,
     "op10_embeddings": op10_embeddings,
+    "op12_exact": op12_exact,
     "op13_whitening": op13_whitening,
 }
 ORACLES = {
@@ -128,4 +137,5 @@ ORACLES = {
     "op4_substrings": sql.SUBSTRINGS,
     "op7_sharding": sql.SHARDING,
     "op10_embeddings": sql.EMBEDDINGS,
+    "op12_exact": sql.EXACT,
 }
