@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outings.llm import sql
+from outings.llm.alignment import align
 from outings.llm.common import table
 from outings.llm.decontaminate import decontaminate
 from outings.llm.embeddings import near_vectors
@@ -100,6 +101,14 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", c.n_links.alias("n_links"), c.component.alias("component_id"), c.kept.alias("kept"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's tokens, groups and links between two tokenizers, and how common its links are."""
+    found = align(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"),
+                  public_tokenizers.path("piece_bpe_32k.model")).documents
+    a = F.col("alignment")
+    return found.select("doc_id", *[a[c].alias(c) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")])
+
+
 def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's class of equal texts, and whether it is the one that stays."""
     found = exact_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
@@ -128,6 +137,7 @@ QUERIES = {
     "op8_huffman": op8_huffman,
     "op9_language": op9_language,
     "op10_embeddings": op10_embeddings,
+    "op11_alignment": op11_alignment,
     "op12_exact": op12_exact,
     "op13_whitening": op13_whitening,
 }
