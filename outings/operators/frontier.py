@@ -11,8 +11,10 @@ from outings import fixed_values as fv
 from outings.functions import urls
 from outings.functions.dates import instant
 from outings.functions.text import blank_to_null
+from outings.operators.bloom import filter_bits, possible
 from outings.operators.dom import dom_pass
 from outings.schemas import SHOWS, Site, conform
+from outings.session import materialize
 
 
 def section_order(sections: list[str] | None = None) -> list[str]:
@@ -101,14 +103,27 @@ def is_complete(section, title, category, venue, description):
     return has(title) & has(description) & (~needs_place | (has(category) & has(venue)))
 
 
+def cache_of(frontier: DataFrame, cache: DataFrame) -> DataFrame:
+    """The cache's rows whose url may be in the frontier (stored: it is read twice), for a cache far larger than that.
+
+    A Bloom filter of the frontier's urls drops the others where the cache is scanned, so what is shuffled
+    to find the latest entry of a url follows the frontier and not the cache.
+    """
+    return possible(cache, "url", frontier, "url", filter_bits(frontier.count()))
+
+
 def refresh_plan(frontier: DataFrame, cache: DataFrame, as_of: datetime,
-                 hours: int = fv.DEFAULT_REFRESH_HOURS) -> DataFrame:
+                 hours: int = fv.DEFAULT_REFRESH_HOURS, large_cache: bool = False) -> DataFrame:
     """Adds ``action`` to every frontier url: ``fetch`` or ``reuse``.
 
     Zero hours (or fewer) means a complete entry never expires; otherwise it expires
     when strictly older. Times without a zone are read as UTC. A cache that repeats a url
-    counts with its latest entry.
+    counts with its latest entry. With ``large_cache`` the frontier is stored, and the cache's rows of
+    other urls are dropped before they are shuffled (see ``cache_of``).
     """
+    if large_cache:
+        frontier = materialize(frontier, "frontier")
+        cache = cache_of(frontier, cache)
     c = one_per_url(cache).select(
         F.col("url").alias("_url"),
         is_complete(F.coalesce(blank_to_null(F.col("section")), urls.section_by_path(F.col("url"))),

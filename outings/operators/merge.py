@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from outings import fixed_values as fv
 from outings.operators.sizes import fits_broadcast
 from outings.schemas import SHOW_TO_WORK, WORKS, conform
+from outings.session import materialize
 
 KEY = "source_url"
 _ALWAYS = ("title", "section")
@@ -37,23 +38,32 @@ def _fold(batch: DataFrame, order) -> DataFrame:
     return batch.groupBy(KEY).agg(*aggs)
 
 
+def folded(batch: DataFrame) -> DataFrame:
+    """``fold_batch`` in the order of the batch's column ``_order`` or, without one, of the rows' values."""
+    return _fold(batch, F.col("_order") if "_order" in batch.columns else F.struct(*[c for c in DATA if c in batch.columns]))
+
+
 def upsert_works(works: DataFrame, batch: DataFrame, now: datetime,
                  update_cols: list[str] | None = None) -> DataFrame:
     """Merge a batch into the catalog.
 
-    A batch that repeats a url is folded first, in the order of its column ``_order`` or, without
-    one, of the rows' values, so the catalog's key stays unique whatever comes in.
+    A batch that repeats a url is folded first (see ``folded``), so the catalog's key stays unique whatever comes in.
+    The folded batch is stored once, then measured and joined from there.
     New urls are inserted whole. Known urls take title and section always, other columns
     only where the batch has a value; id and created_at stay, updated_at moves.
 
     A batch whose measured size is under the session's broadcast threshold is sent to the catalog, which
     is then never shuffled; a larger one meets it in one full outer join on the (unique) key.
     """
+    return merge_folded(works, materialize(folded(batch), "batch"), now, update_cols)
+
+
+def merge_folded(works: DataFrame, batch: DataFrame, now: datetime, update_cols: list[str] | None = None) -> DataFrame:
+    """``upsert_works`` of a stored batch with one row per url."""
     update_cols = DATA if update_cols is None else update_cols
     stamp = F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
     old = conform(works, WORKS, {"section": fv.DEFAULT_SECTION})
-    order = F.col("_order") if "_order" in batch.columns else F.struct(*[c for c in DATA if c in batch.columns])
-    new = _fold(batch, order).withColumn("_hit", F.lit(True))
+    new = batch.withColumn("_hit", F.lit(True))
     hit, known = F.col("n._hit").isNotNull(), F.col("o.id").isNotNull()
 
     def value(c: str):
@@ -72,7 +82,7 @@ def upsert_works(works: DataFrame, batch: DataFrame, now: datetime,
         **{c: value(c) for c in DATA},
     }
     on = F.col(f"o.{KEY}") == F.col(f"n.{KEY}")
-    if fits_broadcast(new):
+    if fits_broadcast(batch):
         seen = old.select(KEY).join(F.broadcast(new.select(KEY)), KEY, "left_semi")
         fresh = new.join(seen, KEY, "left_anti")
         joined = old.alias("o").join(F.broadcast(new).alias("n"), on, "left").select("o.*", F.struct("n.*").alias("n"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from outings.plans.discover import rank_newest
 from outings.schemas import CARD_COLUMNS
+from outings.session import materialize
 
 
 def friends_list(friendships: DataFrame, users: DataFrame, user=None) -> DataFrame:
@@ -36,17 +38,8 @@ def common_likes(friendships: DataFrame, reactions: DataFrame, works: DataFrame,
     return found.orderBy(F.col("created_at").desc(), F.col("id").asc()).select(*CARD_COLUMNS)
 
 
-def common_likes_all_pairs(friendships: DataFrame, reactions: DataFrame, works: DataFrame) -> DataFrame:
-    """Every (user_id, friend_id, work_id) both sides of an edge like.
-
-    An edge and its mirror are worked out once. From each pair the side with fewer likes
-    is expanded and the other side is probed on (user, work), so a pair costs the
-    smaller of the two like counts: neither a user with a third of all likes nor one
-    with a third of all edges multiplies the two.
-    """
-    likes = _likes(reactions)
-    counts = likes.groupBy("user_id").agg(F.count("*").alias("n"))
-
+def _sided(friendships: DataFrame, counts: DataFrame) -> DataFrame:
+    """Edges as pairs a <= b with the ways they hold, and which of both has fewer of counts(user_id, n); others drop out."""
     def count_of(side: str) -> DataFrame:
         return counts.select(F.col("user_id").alias(side), F.col("n").alias(f"n_{side}"))
 
@@ -57,22 +50,65 @@ def common_likes_all_pairs(friendships: DataFrame, reactions: DataFrame, works:
         .join(count_of("a"), "a").join(count_of("b"), "b")
     )
     a_smaller = F.col("n_a") <= F.col("n_b")
-    sided = pairs.select(
+    return pairs.select(
         "a", "b", "ab", "ba",
         F.when(a_smaller, F.col("a")).otherwise(F.col("b")).alias("small"),
         F.when(a_smaller, F.col("b")).otherwise(F.col("a")).alias("large"),
     )
+
+
+def _both_ways(pairs: DataFrame, *columns: str) -> DataFrame:
+    """Pairs as (user_id, friend_id) in the ways their edge holds."""
+    directions = F.array_compact(F.array(
+        F.when(F.col("ab"), F.struct(F.col("a").alias("u"), F.col("b").alias("f"))),
+        F.when(F.col("ba"), F.struct(F.col("b").alias("u"), F.col("a").alias("f"))),
+    ))
+    return pairs.select(F.explode(directions).alias("e"), *columns).select(
+        F.col("e.u").alias("user_id"), F.col("e.f").alias("friend_id"), *columns)
+
+
+def common_likes_all_pairs(friendships: DataFrame, reactions: DataFrame, works: DataFrame) -> DataFrame:
+    """Every (user_id, friend_id, work_id) both sides of an edge like.
+
+    An edge and its mirror are worked out once. From each pair the side with fewer likes
+    is expanded and the other side is probed on (user, work), so a pair costs the
+    smaller of the two like counts: neither a user with a third of all likes nor one
+    with a third of all edges multiplies the two.
+    """
+    likes = _likes(reactions)
+    sided = _sided(friendships, likes.groupBy("user_id").agg(F.count("*").alias("n")))
     shared = (
         sided.join(likes.withColumnRenamed("user_id", "small"), "small")
         .join(likes.withColumnRenamed("user_id", "large"), ["large", "work_id"], "left_semi")
         .join(works.select(F.col("id").alias("work_id")), "work_id", "left_semi")
     )
-    directions = F.array_compact(F.array(
-        F.when(F.col("ab"), F.struct(F.col("a").alias("u"), F.col("b").alias("f"))),
-        F.when(F.col("ba"), F.struct(F.col("b").alias("u"), F.col("a").alias("f"))),
-    ))
-    return shared.select(F.explode(directions).alias("e"), "work_id").select(
-        F.col("e.u").alias("user_id"), F.col("e.f").alias("friend_id"), "work_id")
+    return _both_ways(shared, "work_id")
+
+
+def like_words(reactions: DataFrame, works: DataFrame) -> DataFrame:
+    """(user_id, word, bits): each user's likes as bits, 64 works of the catalog's order to a word; empty words are left out.
+
+    A bitwise or per user and word, combined in each task before the shuffle. Likes of unknown works drop out.
+    """
+    place = rank_newest(works).select("work_id", (F.col("at") - 1).alias("place"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))
+    return _likes(reactions).join(place, "work_id").groupBy("user_id", F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def common_likes_counts_all_pairs(friendships: DataFrame, reactions: DataFrame, works: DataFrame) -> DataFrame:
+    """(user_id, friend_id, common) of every edge with common likes, without a row per common work.
+
+    From each pair the side with fewer words is expanded, the other side is found by (user, word), and a word
+    of both counts the bits they share: a pair costs the smaller number of words, and words in which one side has
+    no like cost nothing.
+    """
+    words = materialize(like_words(reactions, works), "like-words")
+    sided = _sided(friendships, words.groupBy("user_id").agg(F.count("*").alias("n")))
+    both = sided.join(words.withColumnsRenamed({"user_id": "small", "bits": "x"}), "small").join(
+        words.withColumnsRenamed({"user_id": "large", "bits": "y"}), ["large", "word"])
+    shared = F.bit_count(F.col("x").bitwiseAND(F.col("y")))
+    counted = both.groupBy("a", "b", "ab", "ba").agg(F.sum(shared).alias("common")).where("common > 0")
+    return _both_ways(counted, "common")
 
 
 def common_likes_counts(common: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from outings.session import materialize
 
 # Newest works whose ranks are looked up by broadcast: two columns wide, under a megabyte.
 DECK_HEAD = 5000
+# Ranks in a row of a user's history.
+BLOCK = 1024
 
 
 def calendar_day(as_of: datetime) -> date:
@@ -93,33 +95,56 @@ def discover_total(works: DataFrame, reactions: DataFrame, user, as_of: datetime
 
 def discover_all_users(works: DataFrame, reactions: DataFrame, users: DataFrame, as_of: datetime,
                        per: int = fv.PER_DEFAULT, since: datetime | None = None, category: str | None = None,
-                       section: str | None = None, head: int = DECK_HEAD) -> DataFrame:
+                       section: str | None = None, head: int = DECK_HEAD, block: int = BLOCK) -> DataFrame:
     """``discover`` for every user: (user_id, rank, work_id).
 
     Never users x works, and one way at every size. The offer is ranked once, in range partitions
-    with offsets. Per user the ranks reacted to are gathered (the user's own history) and the first
-    ``per`` free ranks are read off as an array difference: no window, no anti join. Ranks become works again:
-    the newest ``head``, which nearly all decks hold, by broadcast (``head`` rows of two columns,
-    whatever the catalog's size), the others by a shuffled join on the rank.
+    with offsets; the ranks a user reacted to are held in blocks, and the first ``per`` free ranks are read from
+    the first blocks (see ``free_ranks``). Ranks become works again: the newest ``head``, which nearly all decks
+    hold, by broadcast (``head`` rows of two columns, whatever the catalog's size), the others by a shuffled
+    join on the rank.
     """
     per = _check_per(per)
     ranked = rank_newest(_offered(works, as_of, since, category, section))
     size = ranked.agg(F.count("*").alias("n")).scalar()
-    taken = (
-        reactions.select("user_id", "work_id").join(ranked, "work_id")
-        .groupBy("user_id").agg(F.collect_set("at").alias("taken"))
-    )
-    known = users.select("user_id").join(taken, "user_id", "left").select(
-        "user_id", F.coalesce("taken", F.array().cast("array<bigint>")).alias("taken"))
-    reach = F.least(size, F.size("taken") + F.lit(per).cast("bigint"))
-    every = F.when(reach > 0, F.sequence(F.lit(1).cast("bigint"), reach)).otherwise(F.array().cast("array<bigint>"))
-    decks = known.select("user_id", F.posexplode(F.slice(F.array_except(every, "taken"), 1, per)).alias("pos", "at")).select(
-        "user_id", (F.col("pos") + 1).alias("rank"), "at")
+    taken = reactions.select("user_id", "work_id").join(ranked, "work_id").select("user_id", "at")
+    decks = free_ranks(taken, users.select("user_id"), size, per, max(block, per))
     newest = decks.where(F.col("at") <= head).join(F.broadcast(ranked.where(F.col("at") <= head)), "at")
     others = decks.where(F.col("at") > head).join(ranked.where(F.col("at") > head), "at")
     return newest.unionByName(others).select("user_id", "rank", "work_id")
 
 
+def taken_blocks(taken: DataFrame, block: int) -> DataFrame:
+    """taken(user_id, at) -> (user_id, block, taken, before): the taken ranks of each block, at most ``block`` of them, and
+    how many ranks are free before it; only blocks up to the first that a user has nothing in."""
+    number = F.floor((F.col("at") - 1) / block)
+    held = taken.groupBy("user_id", number.alias("block")).agg(F.collect_set("at").alias("taken"))
+    order = Window.partitionBy("user_id").orderBy("block")
+    earlier = F.sum(F.size("taken")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return held.withColumns({"nth": F.row_number().over(order) - 1, "before": F.col("block") * block - F.coalesce(earlier, F.lit(0))}).where(
+        "nth = block").drop("nth")
+
+
+def free_ranks(taken: DataFrame, users: DataFrame, size, per: int, block: int) -> DataFrame:
+    """(user_id, rank, at): the first ``per`` ranks of 1..``size`` that a user has not taken.
+
+    A user's ranks lie in rows of at most ``block`` ranks, and a row's place among the free ranks follows from the
+    counts of the rows before it, so a history of any length costs rows, never one row that grows with it. The ranks
+    come from the blocks before the first that is wholly free, and from that one, which has ``per`` of them.
+    """
+    held = taken_blocks(taken, block)
+    ends = held.groupBy("user_id").agg(F.count("*").alias("k"), F.sum(F.size("taken")).alias("n"))
+    none = F.array().cast("array<bigint>")
+    k, n = (F.coalesce(c, F.lit(0)) for c in ("k", "n"))
+    open_ = users.join(ends, "user_id", "left").select("user_id", k.alias("block"), none.alias("taken"), (k * block - n).alias("before"))
+    rows = held.join(users, "user_id", "left_semi").unionByName(open_).where((F.col("before") < per) & (F.col("block") * block < size))
+    first, wanted = F.col("block") * block + 1, per - F.col("before")
+    last = F.least(size, first + block - 1, first + F.size("taken") + wanted - 1)
+    free = F.slice(F.array_except(F.sequence(first, last), "taken"), F.lit(1), wanted.cast("int"))
+    return rows.select("user_id", "before", F.posexplode(free).alias("pos", "at")).select(
+        "user_id", (F.col("before") + F.col("pos") + 1).cast("int").alias("rank"), "at")
+
+
 def rank_newest(offered: DataFrame) -> DataFrame:
     """(work_id, at): the place of every work in the order of decks, from 1; stored.
 

@@ -43,11 +43,12 @@ def collect_shows(listings: DataFrame, details: DataFrame, cache: DataFrame, as_
     links = fr.extract_links(listings).join(places.select("page_id", "section", "page"), "page_id")
     seeds = fr.first_seen_links(fr.normalize_show_url(links, site), order).withColumn(
         "title", blank_to_null(F.col("text")))
-    planned = materialize(fr.refresh_plan(seeds, cache, as_of, hours), "planned")
+    planned = materialize(fr.refresh_plan(seeds, cache, as_of, hours, large_cache=True), "planned")
 
     fetch = planned.where("action = 'fetch'").withColumn("crawled_at", F.lit(as_of.isoformat()))
     found = extract_shows(details, fetch.select("url", "title", "section", "crawled_at"), site)
-    reused = fr.merge_seed_cache(planned.where("action = 'reuse'"), cache)
+    known = planned.where("action = 'reuse'")
+    reused = fr.merge_seed_cache(known, fr.cache_of(known, cache))
     where_seen = planned.select("url", F.col("section").alias("list_section"), "page", "action")
     checked = materialize(check_shows(found.unionByName(reused)).join(where_seen, "url"), "checked")
 

@@ -11,7 +11,7 @@ import uuid
 from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,8 +66,9 @@ def publish_snapshot(df: DataFrame, root: str, token: str | None = None,
     version = current_version(spark, root) + 1
     folder = f"v{version}-{uuid.uuid4().hex[:12]}"
     path = f"{root}/{folder}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    rows = spark.read.schema(df.schema).parquet(path).count()
+    written = Observation()
+    df.observe(written, F.count("*").alias("rows")).write.partitionBy(*partition_by).parquet(path)
+    rows = written.get["rows"]
     if rows == 0:
         raise ValueError("empty result is not published")
     spark.createDataFrame([(version, rows, token, folder)], _LOG).coalesce(1).write.mode("append").parquet(f"{root}/log")

@@ -29,7 +29,7 @@ from outings.plans import likes as li
 from outings.plans.pipeline import collect_shows
 from outings.schemas import CARD_COLUMNS, SHOWS, WORKS, Site
 from outings.session import scratch_dir, spread
-from outings.sources import catalog
+from outings.sources import buckets, catalog
 from outings.sources import shows as sh
 from outings.sources.pages import scan_pages
 from outings.standin import sql
@@ -270,6 +270,18 @@ def _(spark, d):
         cm.common_likes_all_pairs(st.friendships(spark, d), _reactions(spark, d), st.works(spark, d)))
 
 
+@query("common_likes_counts_words", ORACLES["common_likes_counts"])
+def _(spark, d):
+    """The same counts from words of 64 works each, without a row per common work."""
+    return cm.common_likes_counts_all_pairs(st.friendships(spark, d), _reactions(spark, d), st.works(spark, d))
+
+
+@query("discover_all_users_blocks", ORACLES["discover_all_users"])
+def _(spark, d):
+    """Blocks so small that every user's history fills several."""
+    return di.discover_all_users(st.works(spark, d), _reactions(spark, d), st.users(spark, d), st.AS_OF, per=20, block=20)
+
+
 @query("reaction_lookup", _with(sql.REACTIONS) + """
 SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(o_orderkey % 200 AS VARCHAR) AS work_id, r.status
 FROM orders LEFT JOIN reactions r ON r.user_id = CAST(o_custkey AS VARCHAR) AND r.work_id = CAST(o_orderkey % 200 AS VARCHAR)""")
@@ -388,6 +400,16 @@ def _(spark, d):
     return mg.upsert_works(st.existing_works(spark, d), st.incoming_works(spark, d), st.NOW)
 
 
+@query("upsert_works_bucketed", ORACLES["upsert_works"])
+def _(spark, d):
+    """The catalog lies in buckets of its urls; the batch comes in two halves, each of which replaces the buckets it touches."""
+    root, new = scratch_dir(spark, "buckets"), st.incoming_works(spark, d)
+    buckets.replace_buckets(st.existing_works(spark, d), root, 64)
+    for half in (0, 1):
+        buckets.merge_buckets(spark, root, new.where(F.pmod(F.xxhash64("source_url"), F.lit(64)) % 2 == half), st.NOW, 64)
+    return buckets.scan_buckets(spark, root, 64)
+
+
 @query("fold_batch", _with(sql.WORKS, "rows_ AS (SELECT *, o_orderkey AS k FROM works JOIN (SELECT o_orderkey, o_custkey FROM orders) ON p_partkey = o_custkey)") + """
 SELECT source_url, arg_max(title || k, k) AS title, arg_max(section, k) AS section,
        arg_max(category, k) FILTER (k % 3 = 0) AS category, arg_max(duration_min + k, k) FILTER (k % 2 = 0) AS duration_min
@@ -478,6 +500,16 @@ def _(spark, d):
     return fr.refresh_plan(seeds, st.cache(spark, d), st.AS_OF, CACHE_HOURS)
 
 
+@query("refresh_plan_large_cache", ORACLES["refresh_plan"])
+def _(spark, d):
+    """The cache holds four older entries of every url and of as many urls that nobody asks for."""
+    seeds, cache = _frontier(spark, d).select("url", "section", "title"), st.cache(spark, d)
+    old = cache.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(4)))).withColumns({
+        "crawled_at": F.lit("1970-01-01T00:00:00Z"), "title": F.lit("ancien")})
+    others = old.withColumn("url", F.concat("url", F.lit("?autre="), st.text_of("n")))
+    return fr.refresh_plan(seeds, cache.unionByName(old.drop("n")).unionByName(others.drop("n")), st.AS_OF, CACHE_HOURS, large_cache=True)
+
+
 @query("merge_seed_cache", _with(sql.LINKS, sql.CACHE) + FIRSTS + f"""
 SELECT {", ".join("c." + n for n in SHOWS.names if n != "title")},
        CASE WHEN p_partkey % 10 = 1 THEN f.text ELSE c.title END AS title
