@@ -10,7 +10,8 @@ are irregular. Only they give pairs (a, b), which are summed in each task and th
 
 Texts are cut at single spaces between other characters. No token of either reaches over such a space (checked on
 the files: a B piece holds its spaces at its start, A splits before a space that a word follows), so a chunk has the
-same tokens wherever it stands, and its ids, groups and links are worked out once a worker, for up to ``MOST`` chunks.
+same tokens wherever it stands, and its groups and links are worked out once a worker; of more than ``MOST`` chunks
+the half that came most often is kept.
 
 Per document come counts, the groups' digest, and sums over its links. Those of regular groups are looked up in
 vectors as long as a vocabulary. Those of irregular pairs are looked up in the ``head`` pairs linked most often, which
@@ -30,6 +31,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,6 @@ from outings.llm.common import free_name, materialize
 MOST = 300_000
 HEAD = 1 << 17
 CUT = re.compile(r"(?<=\S) (?=\S)")
-CLOSE = re.compile(r" \s|\s |^\s|\s$")  # a space beside other white space, or at an end
 
 
 def byte_letters() -> dict[str, int]:
@@ -54,7 +55,8 @@ def byte_letters() -> dict[str, int]:
 
 def chunks_of(text: str) -> list[str]:
     """The parts of a space and the text between single spaces; each follows a space that is not in it."""
-    return CUT.split(text) if CLOSE.search(text) else text.split(" ")
+    parts = text.split(" ")
+    return parts if "" not in parts and list(map(str.strip, parts)) == parts else CUT.split(text)
 
 
 class Aligner:
@@ -78,70 +80,112 @@ class Aligner:
             raise ValueError("a piece holds a space after another character; texts of this model can't be cut at spaces")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.same = identity_map(self.a_bytes, self.b_bytes, [self.b.is_byte(i) for i in range(len(pieces))])
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
+        longest = max(len(self.a_bytes), len(self.b_bytes))
+        self.words = {mark: np.array([f"{i}{mark}" for i in range(longest)], object) for mark in ",|;"}
         self.most = most
         self._forget()
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
         self.groups: list[str] = []
+        # per chunk: A tokens, B tokens, groups, whether the bytes are the text's; where its links start, the irregular ones start, and all end
+        self.numbers, self.spans, self.hits = np.zeros((0, 4), np.int64), np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
+        self.codes = np.zeros(0, np.uint64)  # of a chunk: a ids of regular links, then pairs of irregular ones
         self.size = self.ends = 0
-        # per chunk: A tokens, B tokens, groups, whether the bytes are the text's; and where its links lie
-        self.numbers = np.zeros((1024, 4), np.int64)
-        self.starts = np.zeros((1024, 2), np.int64)
-        self.codes = np.zeros(4096, np.uint64)  # of a chunk: a ids of regular links, then pairs of irregular ones
-
-    def _links(self, a: list[int], b: list[int], want: bytes) -> tuple[tuple, str, list[int], list[int]]:
-        """Counts, the groups as text, the regular links' a ids, the irregular links' pairs."""
-        ends_a = np.cumsum([len(self.a_bytes[i]) for i in a])
-        ends_b = np.cumsum([len(self.b_bytes[i]) for i in b])
-        if b"".join([self.a_bytes[i] for i in a]) != want or b"".join([self.b_bytes[i] for i in b]) != want:
-            return (0, 0, 0, 0), "", [], []
-        regular, pairs, text = [], [], []
-        common, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        i = j = 0
-        for p, q in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-            own_a, own_b = a[i:p], b[j:q]
-            text.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-            if p - i == 1 and q - j == 1 and self.same[own_a[0]] == own_b[0]:
-                regular.append(own_a[0])
-            else:
-                pairs.append(own_a[-1] << 32 | own_b[-1])
-            i, j = p, q
-        return (len(a), len(b), len(text), 1), ";".join(text), regular, pairs
+
+    def _trim(self) -> None:
+        """Keep the half of the chunks that came most often since the last time."""
+        keep = np.sort(np.argsort(-self.hits[:self.size], kind="stable")[:self.most // 2])
+        spans = self.spans[keep]
+        codes, sizes = self.codes[ranges(spans[:, 0], spans[:, 2])], spans[:, 2] - spans[:, 0]
+        starts = np.cumsum(sizes) - sizes
+        names, groups, numbers = list(self.place), self.groups, self.numbers[keep]
+        self._forget()
+        self.place = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.groups = [groups[k] for k in keep.tolist()]
+        self.numbers, self.spans, self.hits = numbers, spans + (starts - spans[:, 0])[:, None], np.zeros(len(keep), np.int64)
+        self.codes, self.size, self.ends = codes, len(keep), len(codes)
 
     def _learn(self, parts: list[str]) -> None:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        b = self.b.encode(parts, num_threads=1)
-        self.numbers, self.starts = (grown(x, self.size + len(parts) + 1) for x in (self.numbers, self.starts))
-        for part, own_a, own_b in zip(parts, a, b):
-            numbers, text, regular, pairs = self._links(own_a, own_b, b" " + part.encode())
-            at, stop = self.ends, self.ends + len(regular) + len(pairs)
-            self.codes = grown(self.codes, stop)
-            self.codes[at:at + len(regular)], self.codes[at + len(regular):stop] = regular, pairs
-            self.numbers[self.size], self.starts[self.size] = numbers, (at, at + len(regular))
-            self.place[part] = self.size
-            self.groups.append(text)
-            self.size, self.ends = self.size + 1, stop
-        self.starts[self.size] = self.ends
+        for at in range(0, len(parts), 512):
+            lot = parts[at:at + 512]
+            a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in lot], add_special_tokens=False)]
+            b = self.b.encode(lot, num_threads=1)
+            want = [b" " + p.encode() for p in lot]
+            good = [i for i in range(len(lot)) if self._joined(self.a_bytes, a[i]) == want[i] == self._joined(self.b_bytes, b[i])]
+            numbers, sizes, codes, text = self._links([a[i] for i in good], [b[i] for i in good])
+            for i, own in zip(good, text):
+                self.place[lot[i]] = len(self.groups)
+                self.groups.append(own)
+            for p in set(lot).difference([lot[i] for i in good]):  # other bytes: no tokens, no links
+                self.place[p] = len(self.groups)
+                self.groups.append("")
+            start, stop, ends = self.size, self.size + len(lot), self.ends + len(codes)
+            self.numbers, self.spans, self.hits, self.codes = (grown(x, n) for x, n in (
+                (self.numbers, stop), (self.spans, stop), (self.hits, stop), (self.codes, ends)))
+            middle = start + len(good)
+            self.numbers[start:middle], self.numbers[middle:stop], self.hits[start:stop] = numbers, 0, 0
+            last = self.ends + np.cumsum(sizes.sum(axis=1))
+            first = last - sizes.sum(axis=1)
+            self.spans[start:middle] = np.stack([first, first + sizes[:, 0], last], axis=1)
+            self.spans[middle:stop] = ends
+            self.codes[self.ends:ends] = codes
+            self.size, self.ends = stop, ends
+
+    @staticmethod
+    def _joined(table: list[bytes], ids: list[int]) -> bytes:
+        return b"".join([table[i] for i in ids])
+
+    def _links(self, a: list[list[int]], b: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Of chunks whose A and B tokens have the same bytes, laid end to end: counts, the numbers of regular and
+        irregular links, the links' codes (a chunk's regular ones first), and the groups as text, each with ';' after it."""
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        if not len(a):
+            return np.zeros((0, 4), np.int64), np.zeros((0, 2), np.int64), np.zeros(0, np.uint64), []
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, n_a), (b, n_b)))
+        ends_a, ends_b = np.cumsum(self.a_sizes[flat_a]), np.cumsum(self.b_sizes[flat_b])
+        place = np.searchsorted(ends_b, ends_a)
+        common = ends_b[place] == ends_a
+        last_a = np.flatnonzero(common)  # a group's last A and B token
+        last_b = place[last_a]
+        size_a, size_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        x, y = flat_a[last_a], flat_b[last_b]
+        regular = (size_a == 1) & (size_b == 1) & (self.same[x] == y)
+        chunk = np.repeat(np.arange(len(a)), n_a)[last_a]
+        codes = np.where(regular, x, x << 32 | y)[np.lexsort((~regular, chunk))].astype(np.uint64)
+        sizes = np.stack([np.bincount(chunk[regular == r], minlength=len(a)) for r in (True, False)], axis=1)
+        # the words of the text: a group's A tokens, then its B tokens
+        words = np.empty(len(flat_a) + len(flat_b), object)
+        words[np.arange(len(flat_a)) + np.repeat(np.cumsum(size_b) - size_b, size_a)] = np.where(common, self.words["|"][flat_a], self.words[","][flat_a])
+        closes = np.zeros(len(flat_b), bool)
+        closes[last_b] = True
+        words[np.arange(len(flat_b)) + np.repeat(np.cumsum(size_a), size_b)] = np.where(closes, self.words[";"][flat_b], self.words[","][flat_b])
+        words, edges = words.tolist(), np.cumsum(n_a + n_b).tolist()
+        text = ["".join(words[i:j]) for i, j in zip([0, *edges], edges)]
+        return np.stack([n_a, n_b, sizes.sum(axis=1), np.ones(len(a), np.int64)], axis=1), sizes, codes, text
 
     def __call__(self, texts: list[str | None]) -> list[tuple]:
         """Per text: A tokens, B tokens, groups, digest, regular a ids and their counts, irregular pairs and theirs."""
         if self.size > self.most:
-            self._forget()
+            self._trim()
         split = [chunks_of(t) if t else [] for t in texts]
-        known = self.place
-        new = [p for p in dict.fromkeys(p for s in split for p in s) if p not in known]
-        if new:
-            self._learn(new)
-        out = []
-        for parts in split:
-            at = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-            sums = self.numbers[at]
-            if not len(at) or not sums[:, 3].all():
+        flat, known = list(chain.from_iterable(split)), self.place
+        at = np.fromiter(map(known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys([flat[i] for i in missing])))
+            at[missing] = [known[flat[i]] for i in missing]
+        self.hits[:self.size] += np.bincount(at, minlength=self.size)
+        out, stops = [], np.cumsum([len(s) for s in split])
+        for begin, stop in zip([0, *stops], stops):
+            own = at[begin:stop]
+            sums = self.numbers[own]
+            if not len(own) or not sums[:, 3].all():
                 out.append((0, 0, 0, "", *[np.empty(0, np.uint64)] * 4))
                 continue
-            digest = hashlib.sha256(";".join(map(self.groups.__getitem__, at.tolist())).encode()).hexdigest()
-            first, middle, last = self.starts[at, 0], self.starts[at, 1], self.starts[at + 1, 0]
+            digest = hashlib.sha256("".join(map(self.groups.__getitem__, own.tolist()))[:-1].encode()).hexdigest()
+            first, middle, last = self.spans[own].T
             regular, pairs = (np.unique(self.codes[ranges(x, y)], return_counts=True) for x, y in ((first, middle), (middle, last)))
             out.append((*sums[:, :3].sum(axis=0).tolist(), digest, *regular, *pairs))
         return out
