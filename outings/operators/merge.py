@@ -30,12 +30,16 @@ def fold_batch(batch: DataFrame, order: str) -> DataFrame:
     return _fold(batch, F.col(order))
 
 
-def _fold(batch: DataFrame, order) -> DataFrame:
-    aggs = [
+def last_values(columns: list[str], order) -> list:
+    """Aggregates: title and section of the last row in ``order``, of other columns the last value that is not null."""
+    return [
         F.max_by(F.col(c), order).alias(c) if c in _ALWAYS else F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c)
-        for c in DATA if c in batch.columns
+        for c in columns
     ]
-    return batch.groupBy(KEY).agg(*aggs)
+
+
+def _fold(batch: DataFrame, order) -> DataFrame:
+    return batch.groupBy(KEY).agg(*last_values([c for c in DATA if c in batch.columns], order))
 
 
 def folded(batch: DataFrame) -> DataFrame:

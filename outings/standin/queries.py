@@ -35,7 +35,7 @@ from outings.sources.pages import scan_pages
 from outings.standin import sql
 from outings.standin import tables as st
 from outings.streaming.ingest import ingest_run
-from outings.streaming.reactions import compact_reactions, current_reactions, reaction_stream
+from outings.streaming.reactions import current_reactions, reaction_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -865,31 +865,31 @@ def _(spark, d):
 
 @query("reaction_stream", ORACLES["fold_reactions"])
 def _(spark, d):
-    """The event log as files of two sources with a checkpoint each, streamed in batches; a compaction lies between."""
-    root, events = scratch_dir(spark, "state"), st.reaction_events(spark, d)
-    for even in (True, False):
-        source = scratch_dir(spark, "events")
-        events.where(f"(seq % 2 = 0) = {even}").repartition(4).write.parquet(source)
-        reaction_stream(spark, source, root, scratch_dir(spark, "checkpoint"), files_per_batch=2).awaitTermination()
-        if even:
-            compact_reactions(spark, root)
-    return current_reactions(spark, root)
+    """The event log as files of two folders, streamed in batches; half of it arrives after the stream has ended and is started again."""
+    events, checkpoint = st.reaction_events(spark, d), scratch_dir(spark, "checkpoint")
+    folders = {even: scratch_dir(spark, "events") for even in (True, False)}
+    for drop in (0, 1):
+        for even, folder in folders.items():
+            events.where(f"(seq % 2 = 0) = {even} AND floor(seq / 10) % 2 = {drop}").repartition(4).write.mode("append").parquet(folder)
+        reaction_stream(spark, list(folders.values()), checkpoint, files_per_batch=2).awaitTermination()
+    return current_reactions(spark, checkpoint)
 
 
 @query("ingest_stream", _with(sql.WORKS) + """
 SELECT sha256(source_url) AS id, title, section, category, venue, duration_min, CAST(start_date AS VARCHAR) AS start_date,
        source_url FROM works WHERE category <> 'PROMO'""")
 def _(spark, d):
-    """Two drops with a checkpoint each, a folder of lines per category; every PROMO file holds a bad line and is refused whole."""
+    """Two folders of files of lines; every PROMO file holds a bad line and is refused whole. The second is read in a later run."""
     w = st.works(spark, d).select(
         F.col("source_url").alias("url"), "title", "section", "category", "venue", "address",
         st.text_of("start_date").alias("date_start"), "duration_min", F.col("image_url").alias("image"), "description")
     line = F.to_json(F.struct(*w.columns), {"ignoreNullFields": "false"})
     line = F.when(F.col("category") == "PROMO", F.concat(line, F.lit("\n{broken"))).otherwise(line)
-    root = scratch_dir(spark, "ingested")
+    root, folders = scratch_dir(spark, "ingested"), {}
     for cinema in (True, False):
         source = scratch_dir(spark, "drop")
         w.where((F.col("section") == "cinema") == cinema).select(line.alias("value"), F.col("category").alias("kind")).repartition(
             6, "kind").write.partitionBy("kind").text(source)
-        ingest_run(spark, f"{source}/*", root, scratch_dir(spark, "checkpoint"), lambda: st.NOW, files_per_batch=3)
+        folders["cinema" if cinema else "theatre"] = f"{source}/*"
+        ingest_run(spark, folders, root, st.NOW, files_per_batch=3)
     return catalog.scan_works(spark, root).select("id", "title", "section", "category", "venue", "duration_min", "start_date", "source_url")

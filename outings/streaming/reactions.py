@@ -1,64 +1,56 @@
 """Reaction events into the current state.
 
-Every micro-batch is folded and written as one small delta under its stream's id and its
-batch id, so the cost of a batch follows the batch and not the state, and any number of
-streams may feed one state. Reading folds the base and the deltas after it; compaction moves
-the deltas into a new base, which is marked with the last batch of each stream in it. Because the fold goes by
-event time and is associative, late events, replays and any batch split give one state.
+The state is a streaming aggregate per user and work, ``fold_reactions`` itself, kept in Spark's RocksDB state store: a
+batch reads and writes the pairs it holds and costs what the batch costs, not what the state holds. The stream's
+checkpoint is all there is: offsets say what was read, the state store what came of it, and a stream that was
+killed goes on from there. The state is read out of the checkpoint, at the last batch that was completed.
+
+Because the fold goes by event time and is associative, late events, repeated ones and any split into batches give
+one state. Any number of folders may feed it, all of them named from the start.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from outings.operators.reactions import fold_reactions, fold_states
+from outings.operators.reactions import fold_reactions
 from outings.schemas import REACTION_EVENTS
-from outings.sources.catalog import publish_snapshot, read_if_exists, read_snapshot
-from outings.streaming.marks import beyond, last_batches, marks_of, stream_id, token_of
-
-STATE = T.StructType([
-    *[REACTION_EVENTS[c] for c in ("user_id", "work_id", "status")],
-    T.StructField("created_at", T.TimestampNTZType()), T.StructField("updated_at", T.TimestampNTZType()),
-    T.StructField("last_seq", T.LongType()),
-])
-_DELTA = T.StructType([*STATE.fields, T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())])
-
-
-def write_delta(events: DataFrame, root: str, stream: str, batch_id: int) -> None:
-    """Idempotent: a repeated batch replaces its own folder."""
-    fold_reactions(events).write.mode("overwrite").parquet(f"{root}/delta/stream={stream}/batch={batch_id}")
-
-
-def reaction_stream(spark: SparkSession, directory: str, root: str, checkpoint: str,
-                    files_per_batch: int = 1000) -> StreamingQuery:
-    events = (
-        spark.readStream.schema(REACTION_EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(directory)
-    )
-    return (
-        events.writeStream.foreachBatch(lambda df, batch_id: write_delta(df, root, stream_id(spark, checkpoint), batch_id))
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-
-
-def _deltas(spark: SparkSession, root: str) -> DataFrame:
-    return beyond(read_if_exists(spark, f"{root}/delta", _DELTA), marks_of(spark, f"{root}/base"))
-
-
-def current_reactions(spark: SparkSession, root: str) -> DataFrame:
-    base = read_snapshot(spark, f"{root}/base", STATE)
-    return fold_states(base.unionByName(_deltas(spark, root).drop("stream", "batch")))
-
 
-def compact_reactions(spark: SparkSession, root: str) -> dict[str, int]:
-    """Fold base and deltas into a new base; returns the last batch of each stream it holds."""
-    marks, deltas = marks_of(spark, f"{root}/base"), _deltas(spark, root)
-    found = last_batches(deltas)
-    if not found:
-        return marks
-    base = read_snapshot(spark, f"{root}/base", STATE)
-    upto = deltas.where(F.col("batch") <= F.create_map(*[F.lit(x) for pair in found.items() for x in pair])[F.col("stream")])
-    publish_snapshot(fold_states(base.unionByName(upto.drop("stream", "batch"))), f"{root}/base", token=token_of(marks | found))
-    return marks | found
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # a batch uploads what it changed, not whole files of the store
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def _with_settings(spark: SparkSession, settings: dict[str, str], start):
+    """What ``start`` returns; a stream keeps the session's settings of the moment it was started."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        return start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def reaction_stream(spark: SparkSession, directories: list[str], checkpoint: str, files_per_batch: int = 1000) -> StreamingQuery:
+    """Every new file of ``directories`` is folded into the state; stops when all are read."""
+    sources = [spark.readStream.schema(REACTION_EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(d) for d in directories]
+    state = fold_reactions(reduce(DataFrame.unionByName, sources))
+    out = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return _with_settings(spark, STORE, out.start)
+
+
+def current_reactions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The state after the last completed batch, as ``fold_reactions`` gives it."""
+    held = _with_settings(spark, STORE, lambda: spark.read.format("statestore").load(checkpoint))
+    last, first = (F.col(f"value.`{f.name}`") for f in held.schema["value"].dataType.fields)
+    return held.select(
+        "key.user_id", "key.work_id", last["status"].alias("status"), first.alias("created_at"),
+        last["updated_at"].alias("updated_at"), last["last_seq"].alias("last_seq"))
