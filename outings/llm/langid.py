@@ -16,18 +16,16 @@ column, last, named ``language`` (underscores are added while that name is taken
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outings.llm.common import append, free_name, texts
 
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -36,6 +34,11 @@ FOLD = bytes((b | 0x20) if 0x41 <= b <= 0x5A else 0x30 if 0x30 <= b <= 0x39 else
 LOT = 256  # windows answered at once
 
 
+def has_letter(data: bytes) -> bool:
+    """Whether any character is a letter; digits, fractions and powers are none."""
+    return any(map(str.isalpha, data.decode(errors="replace")))
+
+
 def windows_of(data: bytes) -> np.ndarray:
     """A text's windows, one a row."""
     count = max(1, -(-len(data) // WINDOW))
@@ -142,9 +145,14 @@ def train(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), usable.alias("ok")).where(
         "ok and lang is not null and id is not null and text is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    # the chosen ids first, so that no text is sorted
-    chosen = rows.select("lang", "id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
+    # the chosen ids first, so that no text is sorted: those of the lowest hashes. About twice as many as are wanted lie
+    # below a bound that follows from the label's count; of these few the exact ones are cut
+    hashed = rows.select("lang", F.struct(F.xxhash64("id").alias("h"), "id").alias("i"))
+    counts = hashed.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n"))
+    low = hashed.join(F.broadcast(counts), "lang").where(F.col("i.h") <= F.lit(-2.0 ** 63) + share * F.lit(2.0 ** 64))  # a row per label
+    first = F.slice(F.sort_array(F.collect_list("i")), 1, per_language)
+    chosen = low.groupBy("lang").agg(first.alias("i")).select("lang", F.explode("i.id").alias("id"))
     # at most per_language rows a label: small whatever the corpus holds
     sample = rows.join(F.broadcast(chosen.select(F.col("lang").alias("l"), F.col("id").alias("i")).distinct()), F.expr("id = i and lang = l"))
 
@@ -152,7 +160,7 @@ def train(docs: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "
         for batch in batches:
             out = []
             for data, name in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
-                if LETTER.search(data.decode(errors="replace")):
+                if has_letter(data):
                     own = windows_of(data)
                     for at in np.unique(np.linspace(0, len(own) - 1, per_document).astype(int)):
                         out.append({"lang": name, "codes": own[at].tobytes()})
@@ -199,7 +207,7 @@ def identify(docs: DataFrame, model: ByteCNN | None, text: str = "text") -> Data
             held.clear()
 
         for row, data in enumerate(texts(batch.column(at))):
-            if net is None or not data or not LETTER.search(data.decode(errors="replace")):
+            if net is None or not data or not has_letter(data):
                 continue
             held.append((row, windows_of(data), len(data)))
             size += len(held[-1][1])

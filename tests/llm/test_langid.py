@@ -85,3 +85,23 @@ def test_nulls_letterless_texts_names_and_no_rows(spark, nothing):
     assert got[4].lang in SOUNDS and got[5].lang in SOUNDS
     assert {r.language_.lang for r in identify(docs, None).collect()} == {UNKNOWN}
     assert identify(nothing, None).count() == 0
+
+
+def test_digits_and_fractions_are_no_letters(spark):
+    model = train(spark.createDataFrame(invented(3, 60), "doc_id long, text string, lang string"), F.lit(True), steps=5)
+    texts = ["½ ² ¾", "²", "12 ½", "_", "٣", None, "", "½ a", "ª"]
+    got = identify(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.language.lang == UNKNOWN for r in got] == [True] * 7 + [False] * 2
+
+
+def test_the_sample_needs_no_window(spark, monkeypatch):
+    """Of many documents of a label exactly ``per_language`` are learned from, and none is ranked in a window of its label."""
+    from pyspark.sql import Window
+
+    monkeypatch.setattr(Window, "partitionBy", None)
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("wort "), F.col("id")).alias("text"),
+                                    F.when(F.col("id") % 10 == 0, "rare").otherwise("hot").alias("lang"))
+    seen = []
+    monkeypatch.setattr(ByteCNN, "fit", lambda self, codes, labels, steps: seen.append(np.bincount(labels)))
+    train(docs, F.lit(True), per_language=50, per_document=1)
+    assert seen[0].tolist() == [50, 50]
