@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
@@ -40,23 +39,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from outings.llm.common import free_name, materialize
+from outings.llm.tokens import byte_level, bytes_of_ids, chunks_of, grown, ids_of_chunks, ranges
 
 MOST = 300_000
 HEAD = 1 << 17
-CUT = re.compile(r"(?<=\S) (?=\S)")
-
-
-def byte_letters() -> dict[str, int]:
-    """The characters that byte-level vocabularies write bytes with: printable ones as they are, the rest from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-def chunks_of(text: str) -> list[str]:
-    """The parts of a space and the text between single spaces; each follows a space that is not in it."""
-    parts = text.split(" ")
-    return parts if "" not in parts and list(map(str.strip, parts)) == parts else CUT.split(text)
 
 
 class Aligner:
@@ -69,12 +55,9 @@ class Aligner:
 
         self.a, self.b = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
-        letters = byte_letters()
-        vocabulary = self.a.get_vocab(with_added_tokens=False)
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
-        for piece, i in vocabulary.items():
-            if all(c in letters for c in piece):
-                self.a_bytes[i] = bytes(letters[c] for c in piece)
+        if not byte_level(self.a):
+            raise ValueError("A is no byte-level tokenizer")
+        self.a_bytes = bytes_of_ids(self.a)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("a piece holds a space after another character; texts of this model can't be cut at spaces")
@@ -110,7 +93,9 @@ class Aligner:
     def _learn(self, parts: list[str]) -> None:
         for at in range(0, len(parts), 512):
             lot = parts[at:at + 512]
-            a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in lot], add_special_tokens=False)]
+            ids, counts = ids_of_chunks(self.a, lot, self.a_sizes)
+            ids, edges = ids.tolist(), np.cumsum(counts).tolist()
+            a = [ids[i:j] for i, j in zip([0, *edges], edges)]
             b = self.b.encode(lot, num_threads=1)
             want = [b" " + p.encode() for p in lot]
             good = [i for i in range(len(lot)) if self._joined(self.a_bytes, a[i]) == want[i] == self._joined(self.b_bytes, b[i])]
@@ -191,22 +176,6 @@ class Aligner:
         return out
 
 
-def grown(array: np.ndarray, size: int) -> np.ndarray:
-    """``array`` with room for ``size`` rows, doubled as often as needed."""
-    if len(array) >= size:
-        return array
-    more = np.zeros((max(size, 2 * len(array)), *array.shape[1:]), array.dtype)
-    more[:len(array)] = array
-    return more
-
-
-def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The places from first to last (excluded) of each pair, one after the other."""
-    sizes = last - first
-    stops = np.cumsum(sizes)
-    return np.repeat(first - (stops - sizes), sizes) + np.arange(int(stops[-1]) if len(stops) else 0)
-
-
 def identity_map(a_bytes: list[bytes], b_bytes: list[bytes], b_is_byte: list[bool]) -> np.ndarray:
     """For each A id the B id of the same bytes, a piece rather than a byte, then the smallest; -1 where there is none."""
     by_bytes: dict[bytes, int] = {}

@@ -1,7 +1,7 @@
 """Token ids of many texts with a public tokenizer.
 
 The tokenizers split a text into pieces before they merge anything, and merge each piece by itself.
-So a piece's ids are asked of the library once and kept, for the first ``most`` pieces, and a text's ids are
+So a piece's ids are asked of the library once, many at a time, and kept for the first ``most`` pieces, and a text's ids are
 put together from those. It holds where this module's patterns split as the library does: texts of
 the characters in ``PLAIN`` and without the marks of special tokens. All other texts go to the library
 whole. ``tests/llm`` compares both ways.
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -25,12 +25,80 @@ SPLIT = {
     "word": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^{SPACE}{LETTER}0-9]+"),
 }
 LOT = 1 << 20  # characters put together at once
+CUT = re.compile(r"(?<=\S) (?=\S)")
+JOINED = {True: 64, False: 16}  # chunks in one text, with sizes of ids and without
+
+
+def chunks_of(text: str) -> list[str]:
+    """The parts between single spaces that stand between other characters than white space."""
+    parts = text.split(" ")
+    return parts if "" not in parts and list(map(str.strip, parts)) == parts else CUT.split(text)
+
+
+def grown(array: np.ndarray, size: int) -> np.ndarray:
+    """``array`` with room for ``size`` rows, doubled as often as needed."""
+    if len(array) >= size:
+        return array
+    more = np.zeros((max(size, 2 * len(array)), *array.shape[1:]), array.dtype)
+    more[:len(array)] = array
+    return more
+
+
+def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The places from first to last (excluded) of each pair, one after the other."""
+    sizes = last - first
+    stops = np.cumsum(sizes)
+    return np.repeat(first - (stops - sizes), sizes) + np.arange(int(stops[-1]) if len(stops) else 0)
+
+
+def byte_letters() -> dict[str, int]:
+    """The characters that byte-level vocabularies write bytes with: printable ones as they are, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def bytes_of_ids(library) -> list[bytes]:
+    """What each id of a byte-level vocabulary stands for."""
+    letters, vocabulary = byte_letters(), library.get_vocab(with_added_tokens=False)
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for piece, i in vocabulary.items():
+        if all(c in letters for c in piece):
+            out[i] = bytes(letters[c] for c in piece)
+    return out
+
+
+def byte_level(library) -> bool:
+    """Whether every id stands for bytes of the text as it is."""
+    return type(library.pre_tokenizer).__name__ == "ByteLevel" and library.normalizer is None
+
+
+def ids_of_chunks(library, chunks: list[str], sizes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of each of ``chunks`` after a space, end to end, and how many each has. ``sizes``: bytes per id, where ids have them."""
+    step = JOINED[sizes is not None]
+    texts = [" " + " ".join(chunks[at:at + step]) for at in range(0, len(chunks), step)]
+    ids, counts = [], []
+    for at in range(0, len(texts), 8):
+        lot = texts[at:at + 8]
+        for k, found in enumerate((library.encode_batch if sizes is None else library.encode_batch_fast)(lot, add_special_tokens=False)):
+            own = np.array(found.ids, np.int64)
+            parts = chunks[(at + k) * step:(at + k + 1) * step]
+            if sizes is None:
+                begins = np.cumsum([0, *[len(p) + 1 for p in parts]])
+                place = np.searchsorted(begins, [a for a, _ in found.offsets], "right") - 1
+                n = np.bincount(place, minlength=len(parts)) if len(own) else np.zeros(len(parts), np.int64)
+            else:
+                stops, ends = np.cumsum([len(p.encode()) + 1 for p in parts]), np.cumsum(sizes[own])
+                n = np.diff(np.searchsorted(ends, stops, "right"), prepend=0)
+            ids.append(own)
+            counts.append(n)
+    return np.concatenate([np.empty(0, np.int64), *ids]), np.concatenate([np.empty(0, np.int64), *counts])
 
 
 class Encoder:
     """A tokenizer file with the ids of the pieces seen so far."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -39,9 +107,11 @@ class Encoder:
         self.split = SPLIT["byte" if kind == "ByteLevel" else "word"] if self._known() else None
         self.lower = self.library.normalizer is not None
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.bytes = np.array([len(b) for b in bytes_of_ids(self.library)], np.int64) if byte_level(self.library) else None
         self.most = most
         self.place: dict[str, int] = {}
         self.ids, self.starts, self.sizes = (np.empty(0, t) for t in (np.uint32, np.int64, np.int64))
+        self.ends = 0  # of the ids
 
     def _known(self) -> bool:
         """Whether the file splits by one of the two patterns."""
@@ -54,23 +124,33 @@ class Encoder:
         return False
 
     def _learn(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.array([len(f) for f in found], np.int64)
-        starts = len(self.ids) + np.cumsum(sizes) - sizes
-        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces))))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32, int(sizes.sum()))])
-        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+        """Ask the library for the ids of ``pieces``, of many in one text where they stand apart in it."""
+        if self.bytes is None:  # no piece holds a space
+            alone, after, chunks = [], pieces, pieces
+        else:
+            alone, after = [], []
+            for p in pieces:
+                (after if p[0] == " " and not p[-1].isspace() else alone).append(p)
+            chunks = [p[1:] for p in after]
+        found = [np.array(e.ids, np.int64) for e in self.library.encode_batch_fast(alone, add_special_tokens=False)]
+        ids, counts = ids_of_chunks(self.library, chunks, self.bytes)
+        ids, counts = np.concatenate([*found, ids]), np.concatenate([np.array([len(f) for f in found], np.int64), counts])
+        start, stop, ends = len(self.place), len(self.place) + len(pieces), self.ends + len(ids)
+        self.ids, self.starts, self.sizes = grown(self.ids, ends), grown(self.starts, stop), grown(self.sizes, stop)
+        self.ids[self.ends:ends], self.sizes[start:stop], self.starts[start:stop] = ids, counts, self.ends + np.cumsum(counts) - counts
+        self.place.update(zip(chain(alone, after), range(start, stop)))
+        self.ends = ends
 
     def _together(self, lot: list[str]) -> list[np.ndarray]:
         split = [self.split.findall(t.lower() if self.lower else t) for t in lot]
         pieces = [p for s in split for p in s]
-        known, held = self.place, (len(self.place), len(self.ids))
+        known, held = self.place, self.ends
         at = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = list(dict.fromkeys(pieces[i] for i in np.flatnonzero(at < 0)))
         if new:
             self._learn(new)
-            for i in np.flatnonzero(at < 0):
-                at[i] = known[pieces[i]]
+            missing = np.flatnonzero(at < 0).tolist()
+            at[missing] = [known[pieces[i]] for i in missing]
         sizes = self.sizes[at]
         stops = np.cumsum(sizes)
         total = int(stops[-1]) if len(stops) else 0
@@ -78,7 +158,7 @@ class Encoder:
         if len(known) > self.most:  # full: what this lot brought goes again
             for p in new:
                 del known[p]
-            self.starts, self.sizes, self.ids = self.starts[:held[0]], self.sizes[:held[0]], self.ids[:held[1]]
+            self.ends = held
         edges = np.concatenate([[0], stops])[np.cumsum([0, *map(len, split)])]
         return [flat[a:b] for a, b in zip(edges[:-1], edges[1:])]
 

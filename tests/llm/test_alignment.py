@@ -10,6 +10,7 @@ from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from outings.llm import alignment as al
+from outings.llm.tokens import byte_letters
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 KIND = "doc_id long, text string, alignment int"
@@ -28,7 +29,7 @@ def invented(seed=1, count=120):
 def brute(texts):
     a_lib, b_lib = Tokenizer.from_file(A), SentencePieceProcessor(model_file=B)
     a_lib.encode_special_tokens = True
-    letters = al.byte_letters()
+    letters = byte_letters()
     names = {i: p for p, i in a_lib.get_vocab().items()}
     out, counts = [], Counter()
     for t in texts:
