@@ -156,7 +156,7 @@ def merge_seed_cache(seeds: DataFrame, cache: DataFrame) -> DataFrame:
     return joined.select(*SHOWS.names)
 
 
-_COUNTERS = ("pages_crawled", "pages_failed", "shows_extracted", "shows_completed", "invalid_shows",
+COUNTERS = ("pages_crawled", "pages_failed", "shows_extracted", "shows_completed", "invalid_shows",
              "cached_loaded", "cached_reused", "detail_fetches")
 
 
@@ -182,4 +182,4 @@ def crawl_stats(pages: DataFrame, outcomes: DataFrame, cache: DataFrame) -> Data
     rows = flags[0]
     for more in flags[1:]:
         rows = rows.unionByName(more, allowMissingColumns=True)
-    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _COUNTERS])
+    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS])

@@ -22,6 +22,7 @@ from outings.operators import frontier as fr
 from outings.operators import merge as mg
 from outings.operators import quality as qu
 from outings.operators import reactions as re_
+from outings.operators.counters import CrawlCounters
 from outings.operators.dom import dom_pass
 from outings.plans import common as cm
 from outings.plans import discover as di
@@ -29,7 +30,7 @@ from outings.plans import likes as li
 from outings.plans.pipeline import collect_shows
 from outings.schemas import CARD_COLUMNS, SHOWS, WORKS, Site
 from outings.session import scratch_dir, spread
-from outings.sources import buckets, catalog
+from outings.sources import buckets, catalog, histories
 from outings.sources import shows as sh
 from outings.sources.pages import scan_pages
 from outings.standin import sql
@@ -212,6 +213,14 @@ def _(spark, d):
     return li.liked_works(_reactions(spark, d), st.works(spark, d), USER)
 
 
+@query("liked_works_by_user", ORACLES["liked_works"])
+def _(spark, d):
+    """The reactions lie clustered by user; of them the user's row groups are read."""
+    path, reactions = scratch_dir(spark, "by-user"), _reactions(spark, d)
+    histories.write_by_user(reactions, path, then="work_id")
+    return li.liked_works(histories.read_by_user(spark, path, reactions.schema), st.works(spark, d), USER)
+
+
 @query("likes_by_view", _with(sql.WORKS, sql.REACTIONS) + LIKED + """
 SELECT user_id, work_id, title, CAST(end_date AS VARCHAR) AS end_date, "view" FROM viewed""")
 def _(spark, d):
@@ -534,6 +543,17 @@ def _(spark, d):
     return fr.crawl_stats(pages, plan.select("action", (F.col("pos") % 5 != 0).alias("valid")), cache)
 
 
+@query("crawl_stats_observed", ORACLES["crawl_stats"])
+def _(spark, d):
+    """The same counters, taken while the three tables are written."""
+    pages = st.frontier_links(spark, d).select("section", "page").distinct().withColumn("ok", F.col("page") % 7 != 0)
+    cache, counters = st.cache(spark, d), CrawlCounters()
+    plan = fr.refresh_plan(_frontier(spark, d), cache, st.AS_OF, CACHE_HOURS).withColumn("valid", F.col("pos") % 5 != 0)
+    for name, table in (("pages", counters.of_pages(pages)), ("plan", counters.of_outcomes(plan)), ("cache", counters.of_cache(cache))):
+        table.write.parquet(scratch_dir(spark, f"crawl-{name}"))
+    return counters.row(spark)
+
+
 # --- stored pages ------------------------------------------------------------------------------
 
 
