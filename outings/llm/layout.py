@@ -18,7 +18,8 @@ of what their row's own cells could fill follow the cell before them. Cells are
 column. Pages are read where they lie.
 
 Cases: null html gives null; html without visible text gives the empty text. Malformed markup is read as far
-as it makes sense, a ``<`` that starts no tag is text. Other columns are passed on; the result is one more
+as it makes sense, a ``<`` that starts no tag is text. Quotes delimit only where an attribute's value begins; a tag in
+which the page would end by that rule ends at its first ``>``, so that a quote never closed hides no text. Other columns are passed on; the result is one more
 struct column, last, named ``layout`` (underscores are added while that name is taken).
 """
 
@@ -36,11 +37,15 @@ from outings.llm.common import append, free_name
 
 MARK = re.compile(r"<(?=[a-zA-Z!?]|/[a-zA-Z])")
 ASIDE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?", re.S)
-END = re.compile(r"</([a-zA-Z][^\s/>]*)[^>]*>")
-START = re.compile(r"<([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>")
-UNQUOTED = re.compile(r"<([a-zA-Z][^\s/>]*)([^>]*)>")
-PATIENCE = 8  # tags whose quotes don't close before the page is read without regard to quotes
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+# HTML's rules of attributes: a quote delimits a value only where the value begins, anywhere else it is a character like others
+NAME = r"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"
+EQUALS = r"[ \t\n\r\f]*+=[ \t\n\r\f]*+"
+BARE = r"[^ \t\n\r\f>\"'][^ \t\n\r\f>]*+"
+TAG = re.compile(rf"</?([a-zA-Z][^ \t\n\r\f/>]*+)((?:[ \t\n\r\f/]++|{NAME}(?:{EQUALS}(?:\"[^\">]*+\"|'[^'>]*+'|{BARE}|(?=>))|(?!{EQUALS})))*+)>")
+TAG_NAME = re.compile(r"</?([a-zA-Z][^ \t\n\r\f/>]*+)")
+GAP = re.compile(r"[ \t\n\r\f/]*+")
+ATTRIBUTE = re.compile(rf"({NAME})(?:{EQUALS}(\"[^\"]*+\"|'[^']*+'|{BARE}|))?+")
+TO_THE_END = re.compile(rf"{NAME}(?:{EQUALS}(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|{BARE}|))?+")
 SPACES = re.compile(r"[ \t\n\r\f]+")
 SPAN = re.compile(r"[ \t\n\r\f]*\+?([0-9]+)")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
@@ -84,6 +89,21 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+def tag_stop(page: str, at: int, endless: set[int]) -> int:
+    """Where the ``>`` lies that ends a tag with attributes from ``at`` on; -1: in no place, the page ends within the tag.
+
+    ``endless`` holds the attributes from which the page's end is reached, so no stretch is read again for each tag in it.
+    """
+    passed = []
+    while (at := GAP.match(page, at).end()) < len(page) and at not in endless:
+        if page[at] == ">":
+            return at
+        passed.append(at)
+        at = TO_THE_END.match(page, at).end()
+    endless.update(passed)
+    return -1
+
+
 def unseen(tag: str, attrs: dict[str, str]) -> bool:
     return (tag in NEVER or "hidden" in attrs or bool(UNSEEN.search(attrs.get("style", "")))
             or tag == "dialog" and "open" not in attrs)
@@ -128,21 +148,25 @@ def nested(page: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
             yield pop()
 
     begun = False  # whether the body is: there is no head any more
-    at, size, patience, last = 0, len(page), PATIENCE, page.rfind(">")
+    endless: set[int] = set()
+    at, size, last = 0, len(page), page.rfind(">")
     while at < size:
         mark = MARK.search(page, at)
         start = mark.start() if mark else size
-        found, ending, tag = None, None, None
+        found, after, tag, ending, inner = None, 0, None, None, ""
         if mark and page[start + 1] in "!?":
             found = ASIDE.match(page, start)
-        elif mark and start < last and page[start + 1] == "/":
-            found = END.match(page, start)
-            ending = found[1]
+            after = found.end()
         elif mark and start < last:
-            found = START.match(page, start) if patience else None
-            if not found:
-                found, patience = UNQUOTED.match(page, start), max(0, patience - 1)
-            tag = found[1]
+            found = TAG.match(page, start)
+            if found:
+                after, inner = found.end(), found[2]
+            else:
+                found = TAG_NAME.match(page, start)
+                stop = tag_stop(page, found.end(), endless)
+                after = (stop if stop >= 0 else page.index(">", found.end())) + 1
+                inner = page[found.end():after - 1]
+            tag, ending = (None, found[1]) if page[start + 1] == "/" else (found[1], None)
         stop = start if found else min(size, start + 1) if start < last else size
         if stop > at:
             text = html.unescape(page[at:stop])
@@ -150,7 +174,7 @@ def nested(page: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
                 yield from leave(None)
                 begun = True
             yield "text", text, None
-        at = found.end() if found else stop
+        at = after if found else stop
         if ending:
             tag = ending.lower()
             if tag in ("p", "br") and stack and foreign[-1]:
@@ -167,7 +191,7 @@ def nested(page: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
                         yield pop()
         elif tag:
             tag = tag.lower()
-            attrs = attributes(found[2]) if found[2].strip(" \t\n\r/") else {}
+            attrs = attributes(inner) if inner.strip(" \t\n\r\f/") else {}
             yield from leave(tag)
             if tag == "head" and begun:
                 continue
@@ -183,7 +207,7 @@ def nested(page: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
                 continue
             inside = bool(foreign) and foreign[-1]
             yield push(tag, attrs)
-            if found[2].endswith("/") and (inside or tag in ("svg", "math")):
+            if inner.endswith("/") and (inside or tag in ("svg", "math")):
                 yield pop()
             elif tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)

@@ -123,3 +123,79 @@ def test_time_follows_the_length_with_spans():
         assert len(render("<table><tr>" + "<td rowspan=0 colspan=1000>x" * n + "<tr><td>y" * n)) < 1100 * n
         took.append(time.process_time() - start)
     assert took[1] < 30 * max(took[0], 0.02)
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<p><a title=don't>one</a> two it's three</p>", "one two it's three"),
+    ("<p>a <b '>b</b> c <b '>d</b> e</p>", "a b c d e"),
+    ("<table><tr><td width=\"10\"\">A</td><td width=\"10\"\">B</td></tr></table>", "A  B"),
+    ("<a '>t</a>" * 20 + "<a title='x > y'>l</a>", "t" * 20 + "l"),
+    ("<a title = \"x > y\" \">l</a><a b=>m</a><a =\">n</a>", "lmn"),
+    ("<p title=\"a\"b=\"'>\">x</p class='>'>y", "x\n\ny"),
+    ("a<b title=\"c>d<b>e</b>", "ade"),  # never closed: ends at its first >
+    ("<p a='/' hidden>no</p><p a=/hidden>yes", "yes"),
+])
+def test_quotes_delimit_only_where_a_value_begins(page, text):
+    assert render(page) == text
+
+
+def told(page):
+    """The characters outside tags, by HTML's tokenizer states, one at a time; None: the page ends within a tag."""
+    out, state, quote, begun = [], "text", "", 0
+    for i, c in enumerate(page):
+        space = c in " \t\n\r\f"
+        if state == "text":
+            if c == "<" and (page[i + 1:i + 2].isalpha() or page[i + 1:i + 2] == "/" and page[i + 2:i + 3].isalpha()):
+                state, begun = "tag", i
+            else:
+                out.append(c)
+        elif state == "quoted":
+            if c == quote:
+                state = "before"
+        elif c == ">":
+            state = "text"
+        elif state == "tag":
+            state = "before" if space or (c == "/" and i > begun + 1) else "tag"
+        elif state == "before":
+            state = "before" if space or c == "/" else "name"
+        elif state in ("name", "after"):
+            if c == "/":
+                state = "before"
+            elif c == "=":
+                state = "value"
+            elif space:
+                state = "after"
+            else:
+                state = "name"
+        elif state == "value":
+            if c in "\"'":
+                state, quote = "quoted", c
+            elif not space:
+                state = "bare"
+        elif state == "bare" and space:
+            state = "before"
+    return "".join(out) if state == "text" else None
+
+
+def test_broken_attributes_against_the_tokenizers_states():
+    import random
+
+    r, seen = random.Random(3), 0
+    for _ in range(20_000):
+        page = "".join(r.choice(["<b", "</b", ">", " ", " ", "/", "=", "\"", "'", "x", "y=", "x=\"", "z='", "w", "\t", "don't "])
+                       for _ in range(r.randint(1, 25))) + ">end"
+        text = told(page)
+        if text is not None:
+            seen += 1
+            assert "".join(render(page).split()) == "".join(text.split()), page
+    assert seen > 5000
+
+
+def test_time_follows_the_length_with_broken_quotes():
+    for part in ("<a x=\">\"", "<a x='>\"", "<a x=\">'", "<a '=\">\" ", "<a x=\"", "<a \"='>", "<a/x='>\"/ y=\">'", "</a x=\">\"", "<a x =  '\">"):
+        took = []
+        for n in (3000, 30_000):
+            start = time.process_time()
+            render(part * n + ">")
+            took.append(time.process_time() - start)
+        assert took[1] < 30 * max(took[0], 0.02), (part, took)
