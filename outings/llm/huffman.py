@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -206,32 +207,45 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
 
 
 def write_ids(tokens: DataFrame, folder: str, limit: int = 20, file_bytes: int = 16 << 20) -> DataFrame:
-    """Write the ids of ``tokens`` (see ``tokenize``) to files of about ``file_bytes``; the manifest, a row per block."""
+    """Write the ids of ``tokens`` (see ``tokenize``) to files of about ``file_bytes``; the manifest, a row per block.
+
+    Files are ranges of ids. Rows without id come first, in files of their own that they are dealt to in turn, so
+    they may be any share of the rows; ``tokens`` must be a stored table for that (a task run again deals the same).
+    """
     spark = tokens.sparkSession
     lengths = code_lengths(id_counts(tokens), limit)
     start = head(lengths, limit)
     shared = spark.sparkContext.broadcast((limit, start[20:]))  # a byte per id of the vocabulary at most
-    total = tokens.agg(F.sum("n").alias("n"), F.count("doc_id").alias("rows")).first()
+    total = tokens.agg(F.sum("n").alias("n"), F.count("doc_id").alias("rows"), F.count("*").alias("all")).first()
     files = max(1, -(-(total.n or 0) * 2 // file_bytes))
-    bounds = [] if files == 1 or not total.rows else tokens.agg(
-        F.percentile_approx("doc_id", [i / files for i in range(1, files)], 100 * files)).first()[0]
+    nameless = -(-files * (total.all - total.rows) // total.all) if total.all else 0  # files of rows without id; they come first
+    bounds = [] if files - nameless < 2 or not total.rows else tokens.agg(F.percentile_approx(
+        "doc_id", [i / (files - nameless) for i in range(1, files - nameless)], 100 * files)).first()[0]
     bounds = sorted(set(bounds))
-    bucket = F.coalesce(F.size(F.filter(F.lit(bounds), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
+    edges = spark.sparkContext.broadcast(np.array(bounds, np.int64))  # 8 bytes a file
+
+    def buckets(ids: pa.Array, turn: int) -> np.ndarray:
+        """The file of each row: by ranges of the id; rows without one go round theirs, from ``turn`` on."""
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        at = nameless + np.searchsorted(edges.value, ids.fill_null(0).to_numpy(zero_copy_only=False))
+        return np.where(known, at, (turn + np.cumsum(~known)) % max(1, nameless)).astype(np.int32)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _codes_of(*shared.value)
+        codes, turn = _codes_of(*shared.value), TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                own = [ids_of(d, w) for d, w in zip(part.column(4).to_pylist(), part.column(3).to_pylist())]
+                own = [ids_of(d, w) for d, w in zip(part.column(3).to_pylist(), part.column(2).to_pylist())]
                 done = codes.encode(own)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), part.column(1), part.column(2), pa.array([m.astype("<u4").tobytes() for _, m in done], pa.binary()),
-                    pa.array([p for p, _ in done], pa.binary())], names=["bucket", "doc_id", "n", "marks", "payload"])
+                    pa.array(buckets(part.column(0), turn)), part.column(0), part.column(1),
+                    pa.array([m.astype("<u4").tobytes() for _, m in done], pa.binary()), pa.array([p for p, _ in done], pa.binary())],
+                    names=["bucket", "doc_id", "n", "marks", "payload"])
+                turn += part.column(0).null_count
 
-    coded = tokens.select(bucket.alias("bucket"), "doc_id", "n", "width", "ids").mapInArrow(
+    coded = tokens.select(F.col("doc_id").cast("long"), "n", "width", "ids").mapInArrow(
         encode, "bucket int, doc_id long, n int, marks binary, payload binary")
-    dealt = coded.repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "n", "payload")
+    dealt = coded.repartitionById(nameless + len(bounds) + 1, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "n", "payload")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, path, place, rows, size, out, number = None, "", 0, [], 0, [], 0

@@ -70,8 +70,8 @@ def op6_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's shard of 16 of nearly equal bytes, and its number there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    narrow = docs.select("doc_id", size_of("text").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    placed = place(narrow, balanced_map(docs, 16).newest())
+    placed = place(docs, balanced_map(docs, 16).newest(), text="text").select(
+        "doc_id", size_of("text").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "vslot", "shard")
     return numbered(placed, "slot", ["doc_id", "text_crc32", "size"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 

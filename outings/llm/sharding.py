@@ -6,7 +6,8 @@ keeps its largest slots up to an even share of the bytes, and what is over moves
 shard with least. So all but the moved slots stay where they are, and records never decide by themselves.
 The map has ``SLOTS`` rows, whatever the corpus holds: it is joined by broadcast and the texts don't move.
 
-Cases: null text has no bytes, size 1. Null ids share the slot of the empty text. Rows that are the same
+Cases: null text has no bytes, size 1. Rows without id are dealt
+by their text, so they don't share one slot. Rows that are the same
 get places side by side. No rows leave every slot empty and give none.
 """
 
@@ -21,8 +22,10 @@ from outings.session import scratch_dir
 SLOTS = 4096  # 16 ** 3: three hex digits of the hash
 
 
-def virtual_slot(doc_id: str) -> F.Column:
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, 3), 16, 10).cast("int")
+def virtual_slot(doc_id: str, text: str | None = None) -> F.Column:
+    """The slot of a row; ``text`` deals the rows without id, which share one slot where it isn't given."""
+    key = F.coalesce(F.col(doc_id).cast("string"), *([F.col(text)] if text else []), F.lit(""))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 3), 16, 10).cast("int")
 
 
 def size_of(text: str) -> F.Column:
@@ -36,7 +39,7 @@ def first_map(spark: SparkSession, shards: int) -> DataFrame:
 
 def slot_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Bytes and rows of each slot that has any."""
-    return docs.select(virtual_slot(doc_id).alias("vslot"), size_of(text).alias("size")).groupBy("vslot").agg(
+    return docs.select(virtual_slot(doc_id, text).alias("vslot"), size_of(text).alias("size")).groupBy("vslot").agg(
         F.sum("size").alias("bytes"), F.count("*").alias("rows"))
 
 
@@ -101,10 +104,13 @@ def balanced_map(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str
     return maps
 
 
-def place(docs: DataFrame, slot_map: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with their ``vslot`` and ``shard`` (underscores are added while those names are taken)."""
+def place(docs: DataFrame, slot_map: DataFrame, doc_id: str = "doc_id", text: str | None = None) -> DataFrame:
+    """``docs`` with their ``vslot`` and ``shard`` (underscores are added while those names are taken).
+
+    Give ``text`` where ids may be null, as ``slot_bytes`` counts rows without id by their text.
+    """
     vslot, shard = free_name(docs, "vslot"), free_name(docs, "shard")
-    return docs.withColumn(vslot, virtual_slot(doc_id)).join(
+    return docs.withColumn(vslot, virtual_slot(doc_id, text)).join(
         F.broadcast(slot_map.select(F.col("vslot").alias(vslot), F.col("shard").alias(shard))), vslot).select(*docs.columns, vslot, shard)
 
 

@@ -18,11 +18,13 @@ three times (Spark reuses it), the text moves only once:
 5. a batch marks the runs so named and those it repeats itself, and cuts their words.
 
 Runs are told apart by 64 bits of hash; the shorter hash of steps 1 and 2 only chooses candidates.
-A batch or shard is the largest thing a task holds; both are sized from the bytes of the input.
+A batch or shard is the largest thing a task holds; both are sized from the bytes of the input. Rows are
+dealt by id and text, so a repeated id is spread too: runs are judged by ids, wherever their rows lie.
+Only rows with the same id and the same text share a batch whatever their number.
 
-Cases: null or empty text has no words. A document without id is neither changed nor looked at; rows
-that share an id are one document, so they do not count as repeats of each other. Repeats inside one
-document stay. Other columns are passed on; the result is one more struct column, last, named
+Cases: null or empty text has no words. A document without id is neither changed nor looked at: such rows
+stay where they are read and never enter a batch. Rows that share an id are one document, so they do not
+count as repeats of each other. Repeats inside one document stay. Other columns are passed on; the result is one more struct column, last, named
 ``repeats`` (underscores are added while that name is taken). No rows give no rows.
 """
 
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outings.llm.common import arrow, free_name, hash_words, pack, texts, unpack
+from outings.llm.common import append, arrow, free_name, hash_words, pack, texts, unpack
 
 KIND = "n_words long, n_removed long, spans array<struct<start: int, stop: int>>, kept string"
 SHORT = np.uint64(30)  # bits of a rolling window's hash within its shard
@@ -219,7 +221,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     count = max(1, -(-size // batch_bytes))
     bits = max(3, int(size / 6 / shard_words).bit_length())
     name, key = free_name(docs, "repeats"), free_name(docs, "batch")
-    dealt = docs.withColumn(key, F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(count)).cast("int"))
+    dealt = docs.where(F.col(doc_id).isNotNull()).withColumn(
+        key, F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.col(text)), F.lit(count)).cast("int"))
     id_at, text_at, key_at = docs.columns.index(doc_id), docs.columns.index(text), len(docs.columns)
     packed = "shard int, batch int, data binary"
 
@@ -264,4 +267,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     hits = batches.applyInArrow(probe, packed).groupBy("shard").applyInArrow(match, packed)
     found = batches.cogroup(hits.groupBy("batch")).applyInArrow(extend, f"{packed}, ids binary")
     verdicts = found.groupBy("shard").applyInArrow(judge, packed)
-    return batches.cogroup(verdicts.groupBy("batch")).applyInArrow(finish, schema)
+    judged = batches.cogroup(verdicts.groupBy("batch")).applyInArrow(finish, schema)
+
+    def untouched(part: pa.RecordBatch) -> list[dict]:
+        own = [d.split() if d else [] for d in texts(part.column(text_at))]
+        return [{"n_words": len(w), "n_removed": 0, "spans": [], "kept": b" ".join(w).decode()} for w in own]
+
+    return judged.unionByName(append(docs.where(F.col(doc_id).isNull()), name, KIND, untouched))

@@ -58,3 +58,13 @@ def test_no_rows_and_taken_names(spark, nothing):
     docs = spark.createDataFrame([(1, "a", "mine", 7)], "doc_id long, text string, shard string, vslot int")
     got = place(docs, first_map(spark, 3))
     assert got.columns == ["doc_id", "text", "shard", "vslot", "vslot_", "shard_"] and got.first().shard == "mine"
+
+
+def test_rows_without_id_are_spread(spark):
+    docs = spark.createDataFrame([(None if i % 3 == 0 else i, f"text {i}") for i in range(12_000)], "doc_id long, text string")
+    placed = place(docs, balanced_map(docs, 8).newest(), text="text")
+    loads = [r.n for r in placed.groupBy("shard").agg(F.sum(size_of("text")).alias("n")).collect()]
+    assert len(loads) == 8 and max(loads) - min(loads) < 0.02 * sum(loads) / 8
+    assert placed.groupBy("vslot").count().agg(F.max("count")).first()[0] < 40
+    numbers = numbered(placed.withColumn("crc", F.crc32(F.col("text").cast("binary"))), "slot", ["doc_id", "crc"])
+    assert numbers.groupBy("shard").agg((F.max("slot") + 1 == F.count("*")).alias("ok")).where("not ok").isEmpty()

@@ -65,3 +65,16 @@ def test_no_rows_and_long_texts(spark, nothing):
     docs = spark.createDataFrame([(1, long), (2, "x " + long)], "doc_id long, text string")
     got = {r.doc_id: r.repeats for r in remove_repeats(docs).select("doc_id", F.col("repeats").alias("repeats")).collect()}
     assert got[1].n_removed == 0 and (got[2].n_words, got[2].n_removed, got[2].kept) == (300_001, 300_000, "x")
+
+
+def test_a_third_without_id_and_a_third_of_one_id(spark):
+    """No batch holds more than its share of either."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, " ".join(f"w{k % 977}x{j}" for j in range(20))) for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = remove_repeats(docs, batch_bytes=20_000)
+    assert sorted(((r.doc_id, r.repeats.n_words, r.repeats.n_removed, r.repeats.kept) for r in got.collect()), key=str) == brute(rows, 13)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "isnull(doc_id" in plan and "isnotnull(doc_id" in plan
+    count = -(-sum(len(t) for _, t in rows) // 20_000)
+    sizes = docs.where("doc_id is not null").groupBy(F.pmod(F.xxhash64("doc_id", "text"), F.lit(count))).count()
+    assert sizes.agg(F.max("count")).first()[0] < 5 * len(rows) / count

@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from outings.llm.huffman import Codes, block, code_lengths, encode_corpus, id_counts, read_block, read_ids
+from outings.llm.huffman import Codes, block, code_lengths, encode_corpus, id_counts, read_block, read_ids, write_ids
 from outings.llm.packing import Index, pack, pack_documents
 from outings.llm.tokens import Encoder, ids_of, tokenize
 
@@ -184,3 +184,17 @@ def test_stored_ids(spark):
     got = sorted((r.n, ids_of(bytes(r.ids), r.width).tolist()) for r in tokenize(docs, WORD, None).collect())
     assert got[0] == (0, []) and got[1][0] == 2
     assert zlib.crc32(b"") == 0
+
+
+def test_rows_without_id_fill_files_of_their_own(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else i, f"text number {i} " * (i % 7)) for i in range(3000)] + [(None, None), (None, "")]
+    tokens = tokenize(spark.createDataFrame(rows, "doc_id long, text string"), BYTE, 2)
+    manifest = write_ids(tokens, str(tmp_path), file_bytes=4000)
+    per_file = manifest.groupBy("path").agg({"n_docs": "sum"}).collect()
+    assert len(per_file) > 10 and max(r[1] for r in per_file) < 4 * (len(rows) / len(per_file))
+    got = sorted(read_ids(spark, manifest).collect(), key=lambda r: r.start)
+    assert len(got) == len(rows) and [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+    ids = [r.doc_id for r in got]
+    assert ids == [None] * 1002 + sorted(i for i, _ in rows if i is not None)
+    want = sorted((str(r.doc_id), ids_of(bytes(r.ids), r.width).astype("<u4").tobytes()) for r in tokens.collect())
+    assert sorted((str(r.doc_id), bytes(r.ids)) for r in got) == want
