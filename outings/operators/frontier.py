@@ -64,16 +64,20 @@ def normalize_show_url(links: DataFrame, site: Site = Site()) -> DataFrame:
     return links.withColumn("url", urls.detail_url(F.col("href"), F.col("section"), site.base_url, site.detail_paths))
 
 
+def place_of(order: list[str] | None = None) -> F.Column:
+    """What ranks a url's links, and the link itself: section in the given order, page, position."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in (order or fv.SECTIONS)]), F.col("section"))
+    return F.struct(rank.alias("o"), "page", "pos", "section", "text")
+
+
 def first_seen_links(links: DataFrame, order: list[str] | None = None) -> DataFrame:
     """First occurrence of every url by (section order, page, position).
 
     A minimum per url combined on the map side: a link that every page repeats
     costs one row per task, not one row per page.
     """
-    rank = F.array_position(F.array(*[F.lit(s) for s in (order or fv.SECTIONS)]), F.col("section"))
-    row = F.struct(rank.alias("o"), "page", "pos", "section", "text")
     return (
-        links.where(F.col("url").isNotNull()).groupBy("url").agg(F.min(row).alias("r"))
+        links.where(F.col("url").isNotNull()).groupBy("url").agg(F.min(place_of(order)).alias("r"))
         .select("url", "r.section", "r.page", "r.pos", "r.text")
     )
 

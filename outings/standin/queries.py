@@ -33,6 +33,7 @@ from outings.session import scratch_dir, spread
 from outings.sources import buckets, catalog, histories
 from outings.sources import shows as sh
 from outings.sources.pages import scan_pages
+from outings.sources.seen import SeenLinks
 from outings.standin import sql
 from outings.standin import tables as st
 from outings.streaming.ingest import ingest_run
@@ -469,6 +470,26 @@ def _(spark, d):
     return fr.first_seen_links(st.frontier_links(spark, d))
 
 
+@query("first_seen_links_over_runs", _with(sql.LINKS) + FIRSTS + "SELECT section, page, pos, url, text FROM firsts")
+def _(spark, d):
+    """Two crawls, of odd and of even pages, the second one run twice, add to a set in buckets."""
+    links = st.frontier_links(spark, d)
+    seen = SeenLinks(spark, scratch_dir(spark, "seen"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for run in (1, 0, 0):
+        seen.add(links.where(F.col("page") % 2 == run), f"run {run}")
+    return seen.links()
+
+
+@query("unseen_links", _with(sql.LINKS) + FIRSTS + """
+SELECT section, page, pos, url, text FROM firsts WHERE url NOT IN (SELECT url FROM links WHERE page <= 10 AND url IS NOT NULL)""")
+def _(spark, d):
+    """What a crawl of all pages finds that one of the first ten pages of each section had not."""
+    links = st.frontier_links(spark, d)
+    seen = SeenLinks(spark, scratch_dir(spark, "seen"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    seen.add(links.where(F.col("page") <= 10), "first pages")
+    return seen.add(links, "all pages")
+
+
 def _page_counts(spark, d):
     links = st.frontier_links(spark, d)
     new = fr.first_seen_links(links).groupBy("section", "page").agg(F.count("*").alias("n_new"))
