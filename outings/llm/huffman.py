@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from outings.llm.common import materialize
+from outings.llm.common import materialize, parts
 from outings.llm.files import opened
 from outings.llm.tokens import ids_of, tokenize
 
@@ -190,12 +190,12 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     """How often each id occurs: summed in each task, then over all; bounded by the vocabulary."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(0, np.int64)
-        for batch in batches:
-            for width, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.bincount(ids_of(data, width))
-                if len(own) > len(sums):
-                    sums = np.pad(sums, (0, len(own) - len(sums)))
-                sums[:len(own)] += own
+        for part in parts(batches):
+            lot = [ids_of(data, width) for width, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+            own = np.bincount(np.concatenate([np.empty(0, np.uint16), *lot]))
+            if len(own) > len(sums):
+                sums = np.pad(sums, (0, len(own) - len(sums)))
+            sums[:len(own)] += own
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["id", "n"])
 
@@ -306,8 +306,8 @@ def read_ids(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     pa.array([data[b - n:b].tobytes() for b, n in zip(stops.tolist(), counts.tolist())], pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids"])
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return blocks.repartition(parts).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return blocks.repartition(tasks).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str, end: int, folder: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
