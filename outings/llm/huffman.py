@@ -82,7 +82,7 @@ class Codes:
         self.codes = np.zeros(len(lengths), np.uint64)
         self.codes[order] = (first >> (limit - self.lengths[order])).astype(np.uint64)
         self.order, self.spans = order, spans
-        self.ids = self.sizes = None
+        self.table = None
 
     def encode(self, docs: list[np.ndarray]) -> list[tuple[bytes, np.ndarray]]:
         """Each document's payload, and the bit offsets of its checkpoints in it."""
@@ -112,24 +112,27 @@ class Codes:
 
     def decode(self, payload: bytes, marks: np.ndarray, runs: np.ndarray) -> np.ndarray:
         """The ids after each checkpoint (``runs`` of them, at most STRIDE), one after the other."""
-        if self.ids is None:
-            self.ids = np.repeat(self.order, self.spans).astype(np.uint32)
-            self.sizes = np.repeat(self.lengths[self.order], self.spans)
-            short = (1 << self.limit) - len(self.ids)  # a single code leaves part of the table free
-            self.ids, self.sizes = np.pad(self.ids, (0, short)), np.pad(self.sizes, (0, short))
+        if self.table is None:
+            entry = (self.order << 5 | self.lengths[self.order]).astype(np.uint32)  # an id and the length of its code
+            self.table = np.zeros(1 << self.limit, np.uint32)  # a single code leaves part of the table free
+            self.table[:int(self.spans.sum())] = np.repeat(entry, self.spans)
         b = np.frombuffer(payload + bytes(8), np.uint8).astype(np.uint32)
         four = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
-        at, out = marks.astype(np.int64), np.zeros((len(marks), STRIDE), np.uint32)
-        lanes = np.arange(len(marks))
-        mask, drop = (1 << self.limit) - 1, 32 - self.limit
-        for k in range(int(runs.max()) if len(runs) else 0):
-            if k and (runs[lanes] <= k).any():
-                lanes = lanes[runs[lanes] > k]
-            p = at[lanes]
-            code = (four[p >> 3] >> (drop - (p & 7)).astype(np.uint32)) & mask
-            out[lanes, k] = self.ids[code]
-            at[lanes] = p + self.sizes[code]
-        return out[np.arange(STRIDE) < runs[:, None]]
+        order = np.argsort(-runs, kind="stable")  # long runs first: those still read are the first ``n``
+        left = np.count_nonzero(runs[:, None] > np.arange(STRIDE), axis=0) if len(runs) else np.zeros(STRIDE, np.int64)
+        at, out = marks.astype(np.int64)[order], np.zeros((STRIDE, len(marks)), np.uint32)
+        drop, mask = np.uint32(32 - self.limit), np.uint32((1 << self.limit) - 1)
+        for k in range(STRIDE):
+            n = int(left[k])
+            if not n:
+                break
+            p = at[:n]
+            entry = self.table[(four[p >> 3] >> (drop - (p & 7).astype(np.uint32))) & mask]
+            out[k, :n] = entry >> 5
+            p += entry & 31
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return out.T[back][np.arange(STRIDE) < runs[:, None]]
 
 
 def head(lengths: np.ndarray, limit: int) -> bytes:
