@@ -26,7 +26,7 @@ SPLIT = {
 }
 LOT = 1 << 20  # characters put together at once
 CUT = re.compile(r"(?<=\S) (?=\S)")
-JOINED = {True: 64, False: 16}  # chunks in one text, with sizes of ids and without
+JOINED = {True: 64, False: 16}  # chunks in one text, where the ids alone tell them apart and where offsets are asked for
 
 
 def chunks_of(text: str) -> list[str]:
@@ -73,23 +73,42 @@ def byte_level(library) -> bool:
     return type(library.pre_tokenizer).__name__ == "ByteLevel" and library.normalizer is None
 
 
-def ids_of_chunks(library, chunks: list[str], sizes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of each of ``chunks`` after a space, end to end, and how many each has. ``sizes``: bytes per id, where ids have them."""
-    step = JOINED[sizes is not None]
+def closing_ids(library) -> np.ndarray | None:
+    """Of each id whether it ends a word, for a vocabulary that marks the ends of words."""
+    mark = getattr(library.model, "end_of_word_suffix", None)
+    if not mark:
+        return None
+    vocabulary = library.get_vocab(with_added_tokens=False)
+    out = np.zeros(library.get_vocab_size(), bool)
+    out[[i for piece, i in vocabulary.items() if piece.endswith(mark)]] = True
+    return out
+
+
+def ids_of_chunks(library, chunks: list[str], sizes: np.ndarray | None, closing: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of each of ``chunks`` after a space, end to end, and how many each has.
+
+    ``sizes``: bytes per id, where ids have them; ``closing``: which ids end a word, where each chunk is a word of the
+    vocabulary's own splitting. With neither the library is asked for offsets.
+    """
+    step = JOINED[sizes is not None or closing is not None]
     texts = [" " + " ".join(chunks[at:at + step]) for at in range(0, len(chunks), step)]
+    encode = library.encode_batch if sizes is None and closing is None else library.encode_batch_fast
     ids, counts = [], []
     for at in range(0, len(texts), 8):
-        lot = texts[at:at + 8]
-        for k, found in enumerate((library.encode_batch if sizes is None else library.encode_batch_fast)(lot, add_special_tokens=False)):
+        for k, found in enumerate(encode(texts[at:at + 8], add_special_tokens=False)):
             own = np.array(found.ids, np.int64)
             parts = chunks[(at + k) * step:(at + k + 1) * step]
-            if sizes is None:
+            if sizes is not None:
+                stops, ends = np.cumsum([len(p.encode()) + 1 for p in parts]), np.cumsum(sizes[own])
+                n = np.diff(np.searchsorted(ends, stops, "right"), prepend=0)
+            elif closing is not None and np.count_nonzero(closing[own]) == len(parts):
+                n = np.diff(np.flatnonzero(closing[own]), prepend=-1)
+            else:
+                if closing is not None:  # an id of no known end
+                    found = library.encode(texts[at + k], add_special_tokens=False)
                 begins = np.cumsum([0, *[len(p) + 1 for p in parts]])
                 place = np.searchsorted(begins, [a for a, _ in found.offsets], "right") - 1
                 n = np.bincount(place, minlength=len(parts)) if len(own) else np.zeros(len(parts), np.int64)
-            else:
-                stops, ends = np.cumsum([len(p.encode()) + 1 for p in parts]), np.cumsum(sizes[own])
-                n = np.diff(np.searchsorted(ends, stops, "right"), prepend=0)
             ids.append(own)
             counts.append(n)
     return np.concatenate([np.empty(0, np.int64), *ids]), np.concatenate([np.empty(0, np.int64), *counts])
@@ -108,6 +127,7 @@ class Encoder:
         self.lower = self.library.normalizer is not None
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.bytes = np.array([len(b) for b in bytes_of_ids(self.library)], np.int64) if byte_level(self.library) else None
+        self.closing = closing_ids(self.library)
         self.most = most
         self.place: dict[str, int] = {}
         self.ids, self.starts, self.sizes = (np.empty(0, t) for t in (np.uint32, np.int64, np.int64))
@@ -133,7 +153,7 @@ class Encoder:
                 (after if p[0] == " " and not p[-1].isspace() else alone).append(p)
             chunks = [p[1:] for p in after]
         found = [np.array(e.ids, np.int64) for e in self.library.encode_batch_fast(alone, add_special_tokens=False)]
-        ids, counts = ids_of_chunks(self.library, chunks, self.bytes)
+        ids, counts = ids_of_chunks(self.library, chunks, self.bytes, self.closing)
         ids, counts = np.concatenate([*found, ids]), np.concatenate([np.array([len(f) for f in found], np.int64), counts])
         start, stop, ends = len(self.place), len(self.place) + len(pieces), self.ends + len(ids)
         self.ids, self.starts, self.sizes = grown(self.ids, ends), grown(self.starts, stop), grown(self.sizes, stop)
@@ -194,10 +214,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def tokenize(docs, path: str, end: int | None, doc_id: str = "doc_id", text: str = "text"):
+def tokenize(docs, path: str, end: int | None, doc_id: str = "doc_id", text: str = "text", leaf=None):
     """doc_id, n, ids of each document, stored: the texts' ids and ``end``, as little-endian numbers of 16 bits (32 where the vocabulary needs it).
 
-    Null text is empty. The ids are written to the shared folder once and read from there.
+    Null text is empty. The ids are written to the shared folder once and read from there. ``leaf`` gives a number for
+    the ids of each of a list of documents, stored beside them as the column leaf.
     """
     import pyarrow as pa
     from pyspark.sql import functions as F
@@ -212,14 +233,15 @@ def tokenize(docs, path: str, end: int | None, doc_id: str = "doc_id", text: str
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = [np.concatenate([i.astype(kind), tail]) for i in own([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(i) for i in ids], pa.int32()), pa.array([kind.itemsize] * len(ids), pa.int8()),
-                     pa.array([i.tobytes() for i in ids], pa.binary())], names=["doc_id", "n", "width", "ids"])
+                columns = {
+                    "doc_id": part.column(0), "n": pa.array([len(i) for i in ids], pa.int32()),
+                    "width": pa.array([kind.itemsize] * len(ids), pa.int8()), "ids": pa.array([i.tobytes() for i in ids], pa.binary())}
+                yield pa.RecordBatch.from_pydict(columns if leaf is None else columns | {"leaf": pa.array(leaf(ids), pa.int64())})
 
     spark = docs.sparkSession
     stored = scratch_dir(spark, "tokens")
     out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n int, width byte, ids binary")
+        run, "doc_id long, n int, width byte, ids binary" + ("" if leaf is None else ", leaf long"))
     out.write.option("compression", "zstd").parquet(stored)
     return spark.read.schema(out.schema).parquet(stored)
 

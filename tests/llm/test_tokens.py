@@ -7,7 +7,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from outings.llm.huffman import Codes, block, code_lengths, encode_corpus, id_counts, read_block, read_ids, write_ids
-from outings.llm.packing import Index, pack, pack_documents
+from outings.llm.packing import Index, Packer, pack, pack_documents
 from outings.llm.tokens import Encoder, ids_of, tokenize
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
@@ -198,3 +198,68 @@ def test_rows_without_id_fill_files_of_their_own(spark, tmp_path):
     assert ids == [None] * 1002 + sorted(i for i, _ in rows if i is not None)
     want = sorted((str(r.doc_id), ids_of(bytes(r.ids), r.width).astype("<u4").tobytes()) for r in tokens.collect())
     assert sorted((str(r.doc_id), bytes(r.ids)) for r in got) == want
+
+
+def test_packed_documents_leave_the_index():
+    """Scores of those that stay are the same as in the whole index."""
+    r = np.random.default_rng(9)
+    docs = [(r.pareto(0.6, r.integers(1, 400)) * 5 % 900).astype(np.uint32) for _ in range(80)]
+    frequencies = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=900)
+    whole, part = (Index(docs, frequencies, 80, 200.0) for _ in range(2))
+    rows = np.arange(80)
+    while len(rows) > 1:
+        stay = np.sort(r.permutation(len(rows))[:len(rows) * 2 // 3])
+        part.keep(stay)
+        rows = rows[stay]
+        for k, row in enumerate(rows):
+            assert np.array_equal(part.scores(k), whole.scores(row)[rows])
+
+
+def greedy(docs, window, frequencies, count, mean):
+    """The fill by brute force: (document, start, length, window) of each piece."""
+    def score(a, b):
+        terms = np.unique(a)
+        tf = np.array([np.sum(b == t) for t in terms])
+        df = frequencies[terms]
+        return np.sum(np.log1p((count - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(b) / mean)))
+
+    left, at, out, number, room, row = list(range(len(docs))), [0] * len(docs), [], 0, window, None
+    seed = None
+    while left:
+        if row is None:
+            row = left[0] if seed is None else max(left, key=lambda d: (round(score(docs[seed], docs[d]), 9), -d))
+        seed = row if seed is None else seed
+        take = min(room, len(docs[row]) - at[row])
+        out.append((row, at[row], take, number))
+        at[row], room = at[row] + take, room - take
+        if at[row] == len(docs[row]):
+            left.remove(row)
+        if room == 0:
+            number, room, seed, row = number + 1, window, None, row if row in left else None
+        else:
+            row = None
+    return out
+
+
+def test_the_fill_is_greedy():
+    for start in range(6):
+        r = np.random.default_rng(start)
+        docs = [(r.pareto(0.5, r.integers(1, 150)) * 9 % 700).astype(np.uint32) for _ in range(90)]
+        frequencies = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=700)
+        mean = float(np.mean([len(d) for d in docs]))
+        packer = Packer(128, 0)
+        packer.shard(list(enumerate(docs)), frequencies, 90, mean)
+        assert [(p["doc_id"], p["start"], p["length"], p["sequence_id"]) for p in packer.rows] == greedy(docs, 128, frequencies, 90, mean)
+
+
+def test_copies_fill_many_partitions(spark):
+    """A third of the corpus is one text: its leaf is spread, and every id still lies in one piece."""
+    rows = [(i, "the same words again " * 10 if i % 3 == 0 else f"document {i} of its own {i * 7 % 101}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    pieces = pack_documents(docs, WORD, 1, window=128, shard_tokens=3000).collect()
+    assert {p.doc_id for p in pieces} == {i for i, _ in rows}
+    assert sum(p.length for p in pieces) == sum(r.n for r in tokenize(docs, WORD, 1).select("n").collect())
+    hot = defaultdict(int)
+    for p in pieces:
+        hot[p.sequence_id >> 33] += p.doc_id % 3 == 0
+    assert max(hot.values()) < 1000
