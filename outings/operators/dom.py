@@ -11,8 +11,10 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,42 +142,61 @@ def _read(html: str) -> _Page | None:
     return page
 
 
-def _list_of_structs(rows: list[list], columns: dict, value) -> pa.Array:
-    offsets, flat = [0], []
-    for row in rows:
-        flat.extend(row)
-        offsets.append(len(flat))
-    arrays = [pa.array([value(x, k) for x in flat], t) for k, t in columns.items()]
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, list(columns)))
-
-
 _NODE_ARROW = {
     name: {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[kind]
     for name, kind in (part.split() for part in _NODE.split(", "))
 }
-_TEXT_ARROW = {"node": pa.int32(), "start": pa.int32(), "stop": pa.int32(), "word": pa.string()}
-_TEXT_AT = {"node": 0, "start": 1, "stop": 2, "word": 3}
+_TEXT_ARROW = ("node", "start", "stop", "word")
+#: Characters of html that are parsed at once, a page at least: a worker holds the elements of so many and no more.
+_LOT = 1 << 20
+
+
+def _lots(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``_LOT`` characters of html."""
+    ends = pc.cumulative_sum(pc.cast(pc.binary_length(batch.column("html")), pa.int64())).to_pylist()
+    first, before = 0, 0
+    for i, end in enumerate(ends):
+        if end - before >= _LOT or i + 1 == len(ends):
+            yield batch.slice(first, i + 1 - first)
+            first, before = i + 1, end
+
+
+def _lists(counts: list[int], columns: list[pa.Array], names: list[str]) -> pa.Array:
+    offsets = pa.array([0, *accumulate(counts)], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, names))
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pages = [_read(html) for html in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("page_id"), batch.column("url"),
-                pa.array([p is not None for p in pages]),
-                pa.array([" ".join(p.words) if p else None for p in pages], pa.string()),
-                _list_of_structs([p.nodes if p else [] for p in pages], _NODE_ARROW, lambda x, k: x[k]),
-                _list_of_structs([[(*t, w) for t, w in zip(p.texts, p.words)] if p else [] for p in pages], _TEXT_ARROW, lambda x, k: x[_TEXT_AT[k]]),
-            ],
-            names=["page_id", "url", "parsed", "text", "nodes", "texts"],
-        )
+        for lot in _lots(batch):
+            yield _parse_lot(lot)
+
+
+def _parse_lot(lot: pa.RecordBatch) -> pa.RecordBatch:
+    pages = [_read(html) for html in lot.column("html").to_pylist()]
+    read = [p for p in pages if p is not None]
+    nodes = [n for p in read for n in p.nodes]
+    texts = [t for p in read for t in p.texts]
+    return pa.RecordBatch.from_arrays(
+        [
+            lot.column("page_id"), lot.column("url"),
+            pa.array([p is not None for p in pages]),
+            pa.array([" ".join(p.words) if p else None for p in pages], pa.string()),
+            _lists([len(p.nodes) if p else 0 for p in pages],
+                   [pa.array([n[name] for n in nodes], kind) for name, kind in _NODE_ARROW.items()], list(_NODE_ARROW)),
+            _lists([len(p.texts) if p else 0 for p in pages],
+                   [pa.array([t[i] for t in texts], pa.int32()) for i in range(3)]
+                   + [pa.array([w for p in read for w in p.words], pa.string())], list(_TEXT_ARROW)),
+        ],
+        names=["page_id", "url", "parsed", "text", "nodes", "texts"],
+    )
 
 
 def dom_pass(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> page text, elements and text nodes.
 
-    No shuffle: every input split is parsed where it is read, in Arrow batches.
+    No shuffle: every input split is parsed where it is read, in Arrow batches, of which a worker parses
+    and gives back a small lot at a time.
     """
     return pages.select("page_id", "url", "html").where(F.col("html").isNotNull()).mapInArrow(_parse_batches, DOM)
 
@@ -192,7 +213,7 @@ def node_text(node: Column, texts: str = "texts") -> Column:
 def matches(node: Column, selector: str) -> Column:
     """``tag``, ``.class``, ``[attr*=part]`` or ``[attr=value]``."""
     if selector.startswith("."):
-        found = F.array_contains(F.split(node["class"], " "), selector[1:])
+        found = F.concat(F.lit(" "), node["class"], F.lit(" ")).contains(f" {selector[1:]} ")  # single blanks between classes
     elif selector.startswith("["):
         name, value = selector[1:-1].split("=", 1)
         if name.endswith("*"):

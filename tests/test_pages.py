@@ -209,3 +209,17 @@ def test_work_grows_with_the_page(spark):
         ex.extract_shows(page).collect()
         took.append(time.time() - start)
     assert took[2] < 12 * max(took[1], 1)
+
+
+def test_a_batch_is_parsed_in_small_lots():
+    """A worker holds the elements of one lot, not of the whole batch that it was sent."""
+    import pyarrow as pa
+
+    from outings.operators import dom
+    html = ["<p>a</p>" * (dom._LOT // 16)] * 8 + ["", "<a href=x>b</a>"]
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(10)), "url": ["u"] * 10, "html": html})
+    lots = list(dom._parse_batches(iter([batch])))
+    assert len(lots) > 3 and max(lot.num_rows for lot in lots) <= 3
+    rows = [row for lot in lots for row in lot.to_pylist()]
+    assert [row["page_id"] for row in rows] == list(range(10))
+    assert rows[8]["nodes"] == [] and rows[9]["nodes"][0]["href"] == "x" and rows[9]["texts"][0]["word"] == "b"
