@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,12 +74,27 @@ def validate_shows(shows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 _SEPARATOR = "\u0001"
 _ISSUES_AT_ONCE = 8
+_FIELDS_AT_ONCE = 8
+_VALUES_AT_ONCE = 4
+
+
+def _in_parts(df: DataFrame, columns: dict[str, Column], at_once: int) -> DataFrame:
+    """``compute_once`` a few columns at a time: Java never compiles a method of over 8,000 bytes and runs it many times slower."""
+    todo = list(columns.items())
+    for i in range(0, len(todo), at_once):
+        df = compute_once(df, dict(todo[i:i + at_once]))
+    return df
 
 
 def _issue(field: str, bad: Column, message: str) -> Column:
     return F.when(F.coalesce(bad, F.lit(False)), f"{field}: {message}")
 
 
+def _longer(text: Column, most: int) -> Column:
+    """More than ``most`` UTF-16 units; no text has more of them than bytes in UTF-8, so few are encoded for it."""
+    return (F.octet_length(text) > most) & (utf16_length(text) > most)
+
+
 def validate_import(lines: DataFrame, site: Site = Site(), line: str = "line") -> DataFrame:
     """JSON lines -> typed record columns plus ``issues``, the array of everything wrong.
 
@@ -91,17 +108,25 @@ def validate_import(lines: DataFrame, site: Site = Site(), line: str = "line") -
     # one pass over the text gives every field as a small variant of its own
     fields = ", ".join(f"{n} variant" for n in names)
     text = F.trim(F.col(line))
+    # an object that is never closed is no JSON: the parsers would only throw, which costs more than all the rest
+    readable = ~(text.startswith("{") & ~text.contains("}"))
     df = compute_once(lines, {
-        "_r": F.from_json(F.col(line), f"{fields}, _bad string", {"columnNameOfCorruptRecord": "_bad"}),
+        "_readable": readable,
         "_object": text.startswith("{"),
         "_closed": text.endswith("}"),
     })
-    df = compute_once(df, {
+    df = compute_once(df, {"_r": F.from_json(F.when(F.col("_readable"), F.col(line)), f"{fields}, _bad string",
+                                             {"columnNameOfCorruptRecord": "_bad"})})
+    df = _in_parts(df, {
         "_object": F.col("_object") & F.col("_closed") & F.col("_r").isNotNull() & F.col("_r._bad").isNull(),
-        "_json": ~F.col("_object") & F.try_parse_json(F.col(line)).isNotNull(),
+        "_json": ~F.col("_object") & F.col("_readable") & F.try_parse_json(F.col(line)).isNotNull(),
         **{f"_t_{n}": F.schema_of_variant(F.col(f"_r.{n}")) for n in names},
-        **{f"_s_{n}": F.try_variant_get(F.col(f"_r.{n}"), "$", "string") for n in names},
-    })
+    }, _FIELDS_AT_ONCE)
+    # reading a number as text builds a cast for every row; written as JSON it is the same digits
+    df = _in_parts(df, {
+        f"_s_{n}": F.when(F.col(f"_t_{n}") == "STRING", F.try_variant_get(F.col(f"_r.{n}"), "$", "string"))
+        .when(F.lit(n in numeric), F.to_json(F.col(f"_r.{n}"))) for n in names
+    }, _FIELDS_AT_ONCE).drop("_r", "_readable", "_closed")
     is_object = F.col("_object")
     issues: list[Column] = [
         _issue("root", ~is_object & ~F.col("_json"), "invalid JSON"),
@@ -122,11 +147,11 @@ def validate_import(lines: DataFrame, site: Site = Site(), line: str = "line") -
         if n == "url":
             values[n] = F.when(is_text(n), F.col("_s_url"))
         elif n in numeric:
-            is_number = kind(n).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+            is_number = reduce(Column.__or__, [kind(n).startswith(t) for t in ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")])
             values[n] = F.when(is_number, F.col(f"_s_{n}").try_cast("double"))
         else:
             values[n] = F.when(is_text(n), clean(F.col(f"_s_{n}")))
-    df = compute_once(df, values)
+    df = _in_parts(df, values, _VALUES_AT_ONCE)
 
     def col(n: str) -> Column:
         return F.col(n)
@@ -141,15 +166,15 @@ def validate_import(lines: DataFrame, site: Site = Site(), line: str = "line") -
     issues += [
         _issue("url", is_object & ~is_text("url"), "expected string"),
         _issue("url", ~col("url").rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:\S"), "invalid URL"),
-        _issue("url", utf16_length(col("url")) > fv.URL_MAX, f"longer than {fv.URL_MAX}"),
+        _issue("url", _longer(col("url"), fv.URL_MAX), f"longer than {fv.URL_MAX}"),
         _issue("url", ~col("url").startswith(prefix), "unexpected site"),
         _issue("title", is_object & col("title").isNull(), "expected string"),
-        _issue("title", utf16_length(col("title")) > fv.TITLE_MAX, f"longer than {fv.TITLE_MAX}"),
+        _issue("title", _longer(col("title"), fv.TITLE_MAX), f"longer than {fv.TITLE_MAX}"),
         _issue("section", wrong_type("section") | ~col("section").isin(*fv.SECTIONS), "unknown section"),
     ]
     for n, most in fv.IMPORT_TEXT_MAX.items():
         issues += [_issue(n, wrong_type(n), "expected string"),
-                   _issue(n, utf16_length(col(n)) > most, f"longer than {most}")]
+                   _issue(n, _longer(col(n), most), f"longer than {most}")]
     for n in ("date_start", "date_end"):
         shaped = col(n).rlike(r"^\d{4}-\d{2}-\d{2}$")
         issues += [_issue(n, wrong_type(n), "expected string"),
@@ -168,7 +193,7 @@ def validate_import(lines: DataFrame, site: Site = Site(), line: str = "line") -
     issues += [
         _issue("image", wrong_type("image"), "expected string"),
         _issue("image", ~col("image").rlike(r"^https?://[^/?#\s]+"), "expected HTTP URL"),
-        _issue("image", utf16_length(col("image")) > fv.URL_MAX, f"longer than {fv.URL_MAX}"),
+        _issue("image", _longer(col("image"), fv.URL_MAX), f"longer than {fv.URL_MAX}"),
         _issue("crawled_at", wrong_type("crawled_at"), "expected string"),
         _issue("crawled_at", col("crawled_at").isNotNull() & col("crawled_at").try_cast("timestamp").isNull(),
                "invalid datetime"),

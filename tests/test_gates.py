@@ -156,3 +156,15 @@ def test_duplicates(spark):
     assert first.count() == 3 and sorted((r.line_no, r.first_line) for r in later.collect()) == [(3, 1), (9, 1)]
     with pytest.raises(ValueError):
         qu.non_empty_check(df.where(F.lit(False)))
+
+
+def test_import_check_compiles(spark):
+    """Java leaves methods of more than 8,000 bytes uncompiled; an open object that is never closed is told apart unparsed."""
+    import re
+    df = qu.validate_import(spark.range(1).select(F.lit('{"title": "t"').alias("line"))).where(F.size("issues") == 0)
+    plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
+    assert sizes and max(sizes) < 8000
+    big = record(price_min_eur=1e2, price_max_eur=12.345678901234567, duration_min=9007199254740993)
+    row = qu.validate_import(spark.createDataFrame([(json.dumps(big),)], "line string")).first()
+    assert (row.price_min_eur, row.price_max_eur, row.issues) == (100.0, 12.345678901234567, ["duration_min: outside 1..600"])
