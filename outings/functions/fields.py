@@ -42,11 +42,13 @@ def parse_duration(text: Column) -> Column:
 
 
 def looks_like_duration(text: Column, hour_is_enough: bool = False) -> Column:
-    low = F.lower(text)
-    hour = low.rlike(fv.DURATION_HOUR_TOKEN)
-    if not hour_is_enough:
-        hour = hour & low.rlike(fv.DURATION_CONTEXT)
-    return low.rlike(fv.DURATION_MINUTES_TOKEN) | hour
+    def telling(low: Column) -> Column:
+        hour = low.rlike(fv.DURATION_HOUR_TOKEN)
+        if not hour_is_enough:
+            hour = hour & low.rlike(fv.DURATION_CONTEXT)
+        return low.rlike(fv.DURATION_MINUTES_TOKEN) | hour
+
+    return let(F.lower(text), telling)
 
 
 def parse_iso8601_duration(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from outings import fixed_values as fv
 from outings.functions import dates, fields, urls
-from outings.functions.text import blank_to_null, clean, contains_any, group, groups
+from outings.functions.text import blank_to_null, clean, contains_any, group, groups, let
 from outings.operators.dom import dom_pass, first_node, json_ld, node_text, outer_texts
 from outings.operators.sizes import fits_broadcast
 from outings.schemas import SHOWS, Site, conform
@@ -90,7 +90,8 @@ def venue_from_breadcrumb(dom: DataFrame, site: Site = Site(), rows: Column | No
 
     def venue(n: Column) -> Column:
         path = urls.path_of(urls.resolve(F.lit(site.base_url), n["href"]))
-        return F.when(path.rlike(site.venue_paths["theatre"]) & fields.looks_like_venue(node_text(n)), node_text(n))
+        name = let(node_text(n), lambda t: F.when(fields.looks_like_venue(t), t))
+        return F.when(path.rlike(site.venue_paths["theatre"]), name)
 
     crumbs = F.filter(F.col("nodes"), lambda n: n["crumb"] & (n["tag"] == "a") & n["href"].isNotNull())
     names = F.filter(F.transform(crumbs, venue), lambda v: v.isNotNull())

@@ -159,3 +159,15 @@ def test_date_and_duration_labels(spark):
     assert [tuple(r) for r in got] == [
         ("02 mars 2026", None), ("01 févr. 2026 → 09 août 2026", "45 min"), ("01 mai 2026", "2 h"),
         ("01 déc. 2026", "1 h 35"), ("Dates à venir", None)]
+
+
+def test_searched_texts_are_worked_out_once(spark):
+    """A text that is built for a search is written once into the expression, not once a word."""
+    from pyspark.sql import functions as F
+
+    from outings.functions import fields, text
+    cell = F.regexp_replace("t", "x", "y")
+    for expression in (text.contains_any(cell, ("a.b", "c d", "é")), fields.looks_like_duration(cell)):
+        assert str(expression).count("regexp_replace") == 1
+    df = spark.createDataFrame([("xa.bx",), ("acb",), ("c d",), ("dé",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(text.contains_any(F.col("t"), ("a.b", "c d", "é"))).collect()] == [True, False, True, True, None, False]
