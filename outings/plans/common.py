@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outings.plans.discover import rank_newest
@@ -39,7 +39,7 @@ def common_likes(friendships: DataFrame, reactions: DataFrame, works: DataFrame,
 
 
 def _sided(friendships: DataFrame, counts: DataFrame) -> DataFrame:
-    """Edges as pairs a <= b with the ways they hold, and which of both has fewer of counts(user_id, n); others drop out."""
+    """Edges as pairs a <= b with the ways they hold, which of both has fewer of counts(user_id, n), and the larger n; others drop out."""
     def count_of(side: str) -> DataFrame:
         return counts.select(F.col("user_id").alias(side), F.col("n").alias(f"n_{side}"))
 
@@ -54,6 +54,7 @@ def _sided(friendships: DataFrame, counts: DataFrame) -> DataFrame:
         "a", "b", "ab", "ba",
         F.when(a_smaller, F.col("a")).otherwise(F.col("b")).alias("small"),
         F.when(a_smaller, F.col("b")).otherwise(F.col("a")).alias("large"),
+        F.greatest("n_a", "n_b").alias("n_large"),
     )
 
 
@@ -95,20 +96,49 @@ def like_words(reactions: DataFrame, works: DataFrame) -> DataFrame:
     return _likes(reactions).join(place, "work_id").groupBy("user_id", F.floor(F.col("place") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
+ROW_WORDS = 64  # words of a user in one row, about
+
+
+def _level(n: Column) -> Column:
+    """The rows of a user of n words are 2 ** level."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(n / ROW_WORDS))).cast("int")
+
+
+def _part(word: Column, level: Column) -> Column:
+    """Which of 2 ** level rows a word lies in: the last bits of a hash, so a row of one level is rows of the next."""
+    return F.xxhash64(word).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1)
+
+
+def word_rows(words: DataFrame) -> DataFrame:
+    """(user_id, n, part, bits): the ``like_words`` of a user, n in all, as maps of word to bits of about ``ROW_WORDS`` words."""
+    counts = words.groupBy("user_id").agg(F.count("*").alias("n"))
+    return words.join(counts, "user_id").groupBy("user_id", "n", _part(F.col("word"), _level(F.col("n"))).alias("part")).agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"))
+
+
 def common_likes_counts_all_pairs(friendships: DataFrame, reactions: DataFrame, works: DataFrame) -> DataFrame:
     """(user_id, friend_id, common) of every edge with common likes, without a row per common work.
 
-    From each pair the side with fewer words is expanded, the other side is found by (user, word), and a word
-    of both counts the bits they share: a pair costs the smaller number of words, and words in which one side has
-    no like cost nothing.
+    A user's words lie in rows of about ``ROW_WORDS``, mostly in one, so a pair is one row on its way from the side with fewer
+    words to the other. Where the other side lies in more rows, each row of the smaller is cut by the same hash of
+    the word and meets the rows that can hold its words: a pair costs the smaller number of words at most, and no
+    row grows with a user's history. A word of both counts the bits they share.
     """
     words = materialize(like_words(reactions, works), "like-words")
-    sided = _sided(friendships, words.groupBy("user_id").agg(F.count("*").alias("n")))
-    both = sided.join(words.withColumnsRenamed({"user_id": "small", "bits": "x"}), "small").join(
-        words.withColumnsRenamed({"user_id": "large", "bits": "y"}), ["large", "word"])
-    shared = F.bit_count(F.col("x").bitwiseAND(F.col("y")))
-    counted = both.groupBy("a", "b", "ab", "ba").agg(F.sum(shared).alias("common")).where("common > 0")
-    return _both_ways(counted, "common")
+    rows = materialize(word_rows(words), "word-rows")
+    sided = _sided(friendships, rows.select("user_id", "n").distinct()).select("small", "large", "ab", "ba", _level(F.col("n_large")).alias("level"))
+    part_at = F.transform(F.map_keys("x"), lambda w: _part(w, F.col("level")))
+    cut = F.transform(F.array_distinct(part_at), lambda p: F.struct(
+        p.alias("part"), F.map_filter("x", lambda w, _: _part(w, F.col("level")) == p).alias("x")))
+    own = F.array(F.struct(F.col("part"), F.col("x")))
+    smaller = sided.join(rows.select(F.col("user_id").alias("small"), "part", F.col("bits").alias("x"), _level(F.col("n")).alias("own")), "small")
+    both = smaller.select("small", "large", "ab", "ba", F.inline(F.when(F.col("level") == F.col("own"), own).otherwise(cut))).join(
+        rows.select(F.col("user_id").alias("large"), "part", F.col("bits").alias("y")), ["large", "part"])
+    shared = F.aggregate(F.map_entries("x"), F.lit(0).cast("long"), lambda n, e: n + F.bit_count(
+        F.coalesce(F.element_at("y", e["key"]), F.lit(0).cast("long")).bitwiseAND(e["value"])))
+    counted = both.select("small", "large", "ab", "ba", shared.alias("common")).where("common > 0").groupBy("small", "large", "ab", "ba").agg(
+        F.sum("common").alias("common"))
+    return _both_ways(counted.withColumns({"a": F.least("small", "large"), "b": F.greatest("small", "large")}), "common")
 
 
 def common_likes_counts(common: DataFrame) -> DataFrame:

@@ -138,3 +138,27 @@ def test_words_count_what_rows_count(spark):
     assert rows(cm.common_likes_counts_all_pairs(friends, reactions, works)) == want and want
     plan = cm.common_likes_counts_all_pairs(friends, reactions, works)._jdf.queryExecution().optimizedPlan().toString()
     assert "work_id" not in plan
+
+
+def test_a_pair_is_one_row_of_words(spark, monkeypatch):
+    """Users of one row and of many against brute force; a row holds all words of a short history, few of a long one."""
+    r = random.Random(3)
+    words = {u: r.sample(range(5000), n) for u, n in {"a": 3, "b": 64, "c": 65, "d": 3000}.items()}
+    table = spark.createDataFrame([(u, w, w + 1) for u, own in words.items() for w in own], "user_id string, word long, bits long")
+    held = {}
+    for row in cm.word_rows(table).collect():
+        assert row.n == len(words[row.user_id])
+        held.setdefault(row.user_id, []).append(row.bits)
+    assert {u: sorted(w for m in maps for w in m) for u, maps in held.items()} == {u: sorted(own) for u, own in words.items()}
+    assert all(bits == w + 1 for maps in held.values() for m in maps for w, bits in m.items())
+    assert [len(held[u]) for u in "abc"] == [1, 1, 2] and len(held["d"]) == 64 and max(map(len, held["d"])) < 100
+
+    monkeypatch.setattr(cm, "ROW_WORDS", 2)
+    works = catalog(spark, 1500)
+    likes = {str(u): set(r.sample(range(1500), r.choice([0, 1, 2, 5, 40, 400]))) for u in range(30)}
+    reactions = spark.createDataFrame([(u, str(w), "LIKE") for u, own in likes.items() for w in own], "user_id string, work_id string, status string")
+    known = {x.id for x in works.select("id").collect()}
+    edges = [(str(a), str(b)) for a in range(30) for b in range(30) if r.random() < 0.4]
+    want = {(a, b): n for a, b in edges if (n := sum(str(w) in known for w in likes[a] & likes[b]))}
+    got = cm.common_likes_counts_all_pairs(spark.createDataFrame(edges, "user_id string, friend_id string"), reactions, works).collect()
+    assert len(got) == len(want) and {(x.user_id, x.friend_id): x.common for x in got} == want
