@@ -1,13 +1,13 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 from outings.llm.huffman import Codes, block, code_lengths, encode_corpus, id_counts, read_block, read_ids, write_ids
-from outings.llm.packing import Index, Packer, pack, pack_documents
+from outings.llm.packing import Index, Packer, document_frequencies, pack, pack_documents
 from outings.llm.tokens import Encoder, ids_of, tokenize
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
@@ -263,3 +263,31 @@ def test_copies_fill_many_partitions(spark):
     for p in pieces:
         hot[p.sequence_id >> 33] += p.doc_id % 3 == 0
     assert max(hot.values()) < 1000
+
+
+def test_parts_between_spaces_are_worked_out_once(monkeypatch):
+    """Words with signs, other white space, repeats over lots and a full store: ids are the library's, and each distinct part is split once a lot."""
+    r = random.Random(8)
+    words = ["it's", "ça", "L'ÉTÉ", "a\nb", "x,y.z", "12a3", "", "\t", "«oui»", "'scene", "'s", "End.", "<|endoftext|>", "日本"]
+    texts = [" ".join(r.choice(words[:-2] if r.random() < 0.9 else words) for _ in range(r.randint(0, 40))) for _ in range(400)]
+    own = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    want = [e.ids for e in own.library.encode_batch(texts, add_special_tokens=False)]
+    assert [i.tolist() for i in own(texts)] == want == [i.tolist() for i in own(texts)]
+    small = Encoder(public_tokenizers.path("word_bpe_49k.json"), most=3)
+    assert [i.tolist() for at in range(0, 400, 50) for i in small(texts[at:at + 50])] == want and len(small.place) <= 3
+
+    asked = []
+    found = Encoder._ids_of
+    monkeypatch.setattr(Encoder, "_ids_of", lambda self, parts, *more: asked.append(len(parts)) or found(self, parts, *more))
+    again = own(["one two, two, one"] * 1000)
+    assert asked == [2] and len({i.tobytes() for i in again}) == 1
+
+
+def test_document_frequencies_of_wide_ids(spark):
+    """Ids beyond 16 bits, documents without ids and repeats against sets."""
+    r = random.Random(9)
+    docs = [[r.choice([1, 7, 70_000, 400_000, r.randrange(300_000)]) for _ in range(r.choice([0, 1, 30]))] for _ in range(300)]
+    rows = [(i, len(d), 4, bytearray(np.array(d, "<u4").tobytes())) for i, d in enumerate(docs)]
+    counts, n, total = document_frequencies(spark.createDataFrame(rows, "doc_id long, n int, width byte, ids binary"))
+    want = Counter(i for d in docs for i in set(d))
+    assert {i: c for i, c in enumerate(counts.tolist()) if c} == want and (n, total) == (300, sum(map(len, docs)))
