@@ -29,7 +29,7 @@ from outings.plans import discover as di
 from outings.plans import likes as li
 from outings.plans.pipeline import collect_shows
 from outings.schemas import CARD_COLUMNS, SHOWS, WORKS, Site
-from outings.session import scratch_dir, spread
+from outings.session import materialize, scratch_dir, spread
 from outings.sources import buckets, catalog, histories
 from outings.sources import shows as sh
 from outings.sources.pages import scan_pages
@@ -907,7 +907,7 @@ def _(spark, d):
 @query("reaction_stream", ORACLES["fold_reactions"])
 def _(spark, d):
     """The event log as files of two folders, streamed in batches; half of it arrives after the stream has ended and is started again."""
-    events, checkpoint = st.reaction_events(spark, d), scratch_dir(spark, "checkpoint")
+    events, checkpoint = materialize(st.reaction_events(spark, d), "log"), scratch_dir(spark, "checkpoint")
     folders = {even: scratch_dir(spark, "events") for even in (True, False)}
     for drop in (0, 1):
         for even, folder in folders.items():

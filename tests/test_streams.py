@@ -57,6 +57,16 @@ def test_two_folders_feed_one_state(spark, tmp_path):
     assert rows(current_reactions(spark, checkpoint)) == rows(fold_reactions(log))
 
 
+def test_rows_held_are_not_counted(spark, tmp_path):
+    """Their number would cost a look-up for each row written, so the store reports none; the state is whole all the same."""
+    source, checkpoint, log = str(tmp_path / "in"), str(tmp_path / "check"), events(spark, 400)
+    log.repartition(2).write.parquet(source)
+    query = reaction_stream(spark, [source], checkpoint, files_per_batch=1)
+    query.awaitTermination()
+    assert all(p["stateOperators"][0]["numRowsTotal"] <= 0 for p in query.recentProgress if p["stateOperators"])
+    assert rows(current_reactions(spark, checkpoint)) == rows(fold_reactions(log))
+
+
 def line(i, **fields):
     return json.dumps({"url": f"{BASE}/theatre/t-1/p-{i}.html", "title": f"T{i}"} | fields)
 
