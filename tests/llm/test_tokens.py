@@ -291,3 +291,38 @@ def test_document_frequencies_of_wide_ids(spark):
     counts, n, total = document_frequencies(spark.createDataFrame(rows, "doc_id long, n int, width byte, ids binary"))
     want = Counter(i for d in docs for i in set(d))
     assert {i: c for i, c in enumerate(counts.tolist()) if c} == want and (n, total) == (300, sum(map(len, docs)))
+
+
+def test_distinct_parts_of_a_byte_vocabulary_are_split_once(monkeypatch):
+    """Spaces beside other white space, at the ends and none at all: ids are the library's, and a known part is not split again."""
+    r = random.Random(10)
+    words = ["it's", "ça", "a\nb", "x,y.z", "12a3", "", " ", "\t", "\n", "«oui»", "'s", "End."]
+    texts = [r.choice(["", " ", "\n"]) + " ".join(r.choice(words) for _ in range(r.randint(0, 30))) + r.choice(["", " "]) for _ in range(400)]
+    texts += ["one two", "one", ""]
+    own = Encoder(BYTE)
+    want = [e.ids for e in own.library.encode_batch(texts, add_special_tokens=False)]
+    assert [i.tolist() for i in own(texts)] == want == [i.tolist() for i in own(texts)]
+
+    asked = []
+    found = Encoder._ids_of
+    monkeypatch.setattr(Encoder, "_ids_of", lambda self, parts: asked.extend(parts) or found(self, parts))
+    again = own(["one two, two, one"] * 1000)
+    assert sorted(set(asked)) == [" one", " two,", "one"] and asked.count(" two,") == 1 and len({i.tobytes() for i in again}) == 1
+
+
+def test_packing_keeps_no_encoder(spark):
+    """Workers that pack hold no pieces of the texts any more: they would count in whatever stage they serve next."""
+    docs, rows = frame(spark)
+    assert pack_documents(docs, WORD, 1).count() >= len(rows)
+
+    def held(batches):
+        import pyarrow as pa
+
+        from outings.llm import tokens
+
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": [len(tokens._encoders)]})
+
+    packed = pack(tokenize(docs, WORD, 1)).repartition(8)
+    assert packed.select("doc_id").mapInArrow(held, "n long").agg({"n": "max"}).first()[0] == 0
