@@ -5,10 +5,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from outings.llm.huffman import Codes, block, code_lengths, encode_corpus, id_counts, read_block, read_ids, write_ids
 from outings.llm.packing import Index, Packer, document_frequencies, pack, pack_documents
-from outings.llm.tokens import Encoder, ids_of, tokenize
+from outings.llm.tokens import Encoder, ids_of, ids_of_pieces, tokenize
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
 ODD = ["", " ", "\n\n a\n \nb\t\tc  d ", "It's  A 12\n\nx!?   'quote ", "²³ªµ é́ \xa0 x", "Σας ΟΔΟΣ", "<|endoftext|> a", "don't 'll '' 's!!'s  ",
@@ -321,3 +322,31 @@ def test_forgotten_encoders_are_made_again():
     release()
     assert not tokens._encoders
     assert tokens.encoder(WORD) is not first and tokens.encoder(WORD)(["one two, three"])[0].tolist() == ids
+
+
+def test_words_of_a_byte_vocabulary_are_looked_up_without_the_signs_after_them(monkeypatch):
+    """Signs, white space and letters of all kinds around words: ids are the library's; a word is one piece whatever signs follow, over three million characters."""
+    r = random.Random(11)
+    words = ["one", "ÉTÉ", "ſtraße", "x", "it", "12", "3a", "«oui»", "", "\n", "\t\r", "a\nb"]
+    signs = ["", "", ",", "!!", "'s", "'", "''", "’s", "…", "€", ".\n", "$$$", "\n", "'ll.", "-é"]
+    texts = ["".join(r.choice(["", " ", " ", "  "]) + r.choice(words) + r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(600)]
+    want = [e.ids for e in Tokenizer.from_file(BYTE).encode_batch(texts, add_special_tokens=False)]
+    for own in (Encoder(BYTE), Encoder(BYTE, most=30)):
+        assert [i.tolist() for i in own(texts)] == want == [i.tolist() for i in own(texts)]
+
+    own, looked, split = Encoder(BYTE), [], Encoder._pieces_of
+    monkeypatch.setattr(Encoder, "_pieces_of", lambda self, parts: looked.append(split(self, parts)[0]) or split(self, parts))
+    own(["one two, two. one! two"] * 140_000)
+    assert [sorted(pieces) for pieces in looked] == [["", " one", " two", "!", ",", ".", "one"]]
+
+
+def test_pieces_in_one_text_keep_their_ids():
+    """More pieces than one text takes, with spaces, white space and letters of two bytes; none at all."""
+    r = random.Random(12)
+    pieces = ["".join(r.choice("ab é\n ß€'!") for _ in range(r.randint(1, 9))) for _ in range(1030)]
+    own, library = Encoder(BYTE), Tokenizer.from_file(BYTE)
+    library.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+    for some in (pieces, pieces[:256], pieces[:1], []):
+        ids, counts = ids_of_pieces(own.pieces, some, own.bytes)
+        want = [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
