@@ -253,6 +253,80 @@ def test_the_fill_is_greedy():
         assert [(p["doc_id"], p["start"], p["length"], p["sequence_id"]) for p in packer.rows] == greedy(docs, 128, frequencies, 90, mean)
 
 
+def replayed(pieces, docs, window, frequencies, mean):
+    """Follow the windows in their order: each neighbour is the best open document of the whole corpus for its seed."""
+    terms = [np.unique(d, return_counts=True) for d in docs]
+    weights = np.zeros((len(docs), len(frequencies)))
+    for row, (ids, tf) in enumerate(terms):
+        df = frequencies[ids]
+        weights[row, ids] = np.log1p((len(docs) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs[row]) / mean))
+    at, open_, neighbours, short, before = [0] * len(docs), np.ones(len(docs), bool), 0, 0, None
+    windows = defaultdict(list)
+    for p in pieces:
+        windows[p.sequence_id].append(p)
+    for number in sorted(windows):
+        place, score = 0, None
+        for p in sorted(windows[number], key=lambda p: p.offset):
+            assert p.offset == place and p.start == at[p.doc_id] and open_[p.doc_id] and p.doc_tokens == len(docs[p.doc_id])
+            assert bytes(p.ids) == docs[p.doc_id][p.start:p.start + p.length].astype("<u4").tobytes()
+            if score is None:
+                score = weights[:, terms[p.doc_id][0]].sum(axis=1)
+            else:
+                assert score[p.doc_id] >= score[open_].max() - 1e-9
+                neighbours += 1
+            at[p.doc_id], place = at[p.doc_id] + p.length, place + p.length
+            open_[p.doc_id] = at[p.doc_id] < len(docs[p.doc_id])
+        assert place <= window
+        short += place < window
+    assert not open_.any() and short <= 1
+    return neighbours
+
+
+def test_neighbours_are_the_best_of_the_whole_corpus(spark, monkeypatch):
+    """Many shards and rounds: a seed sees every document that is open, wherever it is stored, also those that share no word with it."""
+    from outings.llm import packing
+
+    monkeypatch.setattr(packing, "FEWEST", 1000, raising=False)
+    r = random.Random(21)
+    for kinds, shard in ((1, 1500), (12, 700)):
+        known = [["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) + str(k) for _ in range(60)] for k in range(kinds)]
+        rows = [(i, " ".join(r.choice(known[i % kinds][: r.randint(5, 60)]) for _ in range(int(r.paretovariate(0.8)) % 300 + 1))) for i in range(300)]
+        tokens = tokenize(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), WORD, None)
+        frequencies, count, total = document_frequencies(tokens)
+        docs = [ids_of(bytes(t.ids), t.width) for t in sorted(tokens.collect(), key=lambda t: t.doc_id)]
+        assert total > 5 * shard
+        assert replayed(pack(tokens, 128, shard).collect(), docs, 128, frequencies, total / count) > 100
+
+
+def test_seeds_whose_answers_are_taken_ask_again(spark, monkeypatch):
+    """One answer at first, small batches of all kinds, copies and very long documents: every id lies in one piece, one window is short."""
+    from outings.llm import packing
+
+    for name, value in (("FEWEST", 1), ("ANSWERS", 64), ("PLACES", 50), ("SCORES", 2000), ("CELLS", 2000), ("TRAVEL", 40)):
+        monkeypatch.setattr(packing, name, value)
+    r = random.Random(22)
+    known = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(80)]
+    rows = [(i, " ".join(r.choice(known) for _ in range(r.choice([0, 3, 20, 60, 700])))) for i in range(150)]
+    rows += [(200 + i, rows[i % 4][1] if i % 2 else "one text, many times") for i in range(100)] + [(None, "no id"), (None, "no id"), (400, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted((str(t.doc_id), ids_of(bytes(t.ids), t.width).astype("<u4").tobytes()) for t in tokenize(docs, WORD, 1).collect())
+    pieces = pack_documents(docs, WORD, 1, window=64, shard_tokens=900).collect()
+    by, length = defaultdict(list), Counter()
+    for p in pieces:
+        by[p.doc_id].append(p)
+        length[p.sequence_id] += p.length
+    twice = [p for p in by.pop(None)]
+    assert sorted(p.doc_tokens for p in twice if p.start == 0) == sorted(len(i) // 4 for d, i in want if d == "None")
+    assert sum(p.length for p in twice) == sum(len(i) // 4 for d, i in want if d == "None")
+    for doc_id, i in want:
+        if doc_id != "None":
+            own = sorted(by[int(doc_id)], key=lambda p: p.start)
+            assert b"".join(bytes(p.ids) for p in own) == i and [p.start for p in own] == [sum(q.length for q in own[:k]) for k in range(len(own))]
+    assert sum(n < 64 for n in length.values()) <= 1 and max(length.values()) == 64
+    places = sorted((p.sequence_id, p.offset, p.length) for p in pieces)
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(places, places[1:]))
+
+
 def test_copies_fill_many_partitions(spark):
     """A third of the corpus is one text: its leaf is spread, and every id still lies in one piece."""
     rows = [(i, "the same words again " * 10 if i % 3 == 0 else f"document {i} of its own {i * 7 % 101}") for i in range(3000)]
